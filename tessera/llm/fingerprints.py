@@ -20,6 +20,9 @@ from tessera.llm.common import stored, tasks, whole_text
 
 #: White space that is folded besides what decomposes to a blank.
 _BLANKS = "[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{1680}\\x{2028}\\x{2029}]+"
+#: Up to so many ids (16 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HANGUL = (0xAC00, 0xD7A3)
 
 
@@ -88,18 +91,24 @@ def _in_order(text: Column) -> Column:
         return F.array_join(F.transform(F.array_sort(items), lambda x: x["c"]), "")
 
     parts = F.regexp_extract_all(text, F.lit(f"([{cls}]+|[^{cls}]+)"), F.lit(1))
-    ordered = F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{cls}]{{2,}}"), run(p)).otherwise(p)), "")
-    return F.when(text.rlike(f"[{cls}]{{2,}}"), ordered).otherwise(text)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(f"^[{cls}]{{2,}}"), run(p)).otherwise(p)), "")
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; two texts that differ only in Unicode form, case or white space share it."""
+def with_canonical(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """Adds the canonical form; two texts that differ only in Unicode form, case or white space share it.
+
+    Each step is a column of its own, so that none is evaluated twice.
+    """
+    text, cls = F.col(text_col), _tables()[-1]
     other = F.array_distinct(F.regexp_extract_all(text, F.lit("([^\\x00-\\x7F])"), F.lit(1)))
     folded = F.aggregate(other, text, lambda acc, c: F.replace(acc, c, _folded(c)))
-    folded = F.when(text.rlike("[^\\x00-\\x7F]"), _in_order(folded)).otherwise(text)
+    df = df.withColumn("_f1", F.when(F.octet_length(text) > F.length(text), folded).otherwise(text))
+    # the general category is tested first: it is far cheaper than the class of all marks
+    runs = (F.octet_length("_f1") > F.length("_f1")) & F.col("_f1").rlike("\\p{M}{2}") & F.col("_f1").rlike(f"[{cls}]{{2,}}")
+    df = df.withColumn("_f2", F.when(runs, _in_order(F.col("_f1"))).otherwise(F.col("_f1")))
     # Only A-Z can be left in upper case here; lower() would treat a final sigma by its place.
-    plain = F.when(text.rlike("[^\\x00-\\x7F]"), F.translate(folded, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(folded))
-    return F.trim(F.regexp_replace(plain, _BLANKS, " "))
+    low = F.when(F.octet_length("_f2") > F.length("_f2"), F.translate("_f2", _UPPER, _UPPER.lower())).otherwise(F.lower("_f2"))
+    return df.withColumn(name, F.trim(F.regexp_replace(low, _BLANKS, " "))).drop("_f1", "_f2")
 
 
 def digest(canon: Column) -> Column:
@@ -175,56 +184,66 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near_edited, near_next.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    base = base.withColumn("digest", digest(canonical(F.col("text"))))
-    pairs = neighbours(base, "doc_id", ["text", "digest"])
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(
-        F.substring(F.col("text"), F.lit(1), F.length("text") - half),
-        F.substring(F.col("next.text"), F.lit(1), half),
-    )
-    with_edit = pairs.withColumn("edited", edited)
+    pairs = neighbours(_digested(base, "text", "digest"), "doc_id", ["text", "digest", "doc_id"])
     first = stored(
-        with_edit.select(
+        _digested(pairs.withColumn("edited", _edited("text", "next.text")), "edited", "edited_digest").select(
             "doc_id",
             F.length("text").cast("long").alias("n_chars"),
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
             "digest",
-            digest(canonical(F.col("edited"))).alias("edited_digest"),
+            "edited_digest",
             F.col("next.digest").alias("next_digest"),
+            F.col("next.doc_id").alias("next_id"),
         ),
         "digests",
     )
     every = first.select("digest").unionAll(first.select(F.col("edited_digest").alias("digest")))
-    shared = every.groupBy("digest").count().where("count > 1").select("digest")
-    # texts in equal buckets, canonical bytes of both kinds
-    own = first.join(shared, "digest", "left_semi").select("doc_id").distinct()
-    own_texts = base.join(own, "doc_id", "left_semi").select("digest", canonical(F.col("text")).alias("canon"))
-    cut = first.select(F.col("edited_digest").alias("digest"), "doc_id", "digest").toDF("digest", "doc_id", "own")
-    redo = cut.join(shared, "digest", "left_semi")
-    apart = stored(tell_apart(own_texts), "apart")
-    if redo.where(F.col("digest") != F.col("own")).limit(1).count():
-        edits = with_edit.select(digest(canonical(F.col("edited"))).alias("digest"), canonical(F.col("edited")).alias("canon"))
-        both = own_texts.unionAll(edits.join(shared, "digest", "left_semi"))
-        apart = stored(tell_apart(both), "apart")
-    if apart.limit(1).count():
-        return _with_suffixes(with_edit, apart)
-    return _result(first)
-
-
-def _with_suffixes(with_edit: DataFrame, apart: DataFrame) -> DataFrame:
-    """For digests that stand for several texts: the text's number follows the digest."""
-    full = with_edit.select(
-        "doc_id",
-        F.length("text").cast("long").alias("n_chars"),
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        canonical(F.col("text")).alias("c0"), canonical(F.col("edited")).alias("c1"), canonical(F.col("next.text")).alias("c2"),
-    )
-    for i, name in enumerate(("digest", "edited_digest", "next_digest")):
-        part = apart.select(F.col("digest").alias(f"d{i}"), F.col("canon").alias(f"_c{i}"), F.col("suffix").alias(f"s{i}"))
-        full = full.withColumn(f"d{i}_", digest(F.col(f"c{i}")))
-        full = full.join(part, (F.col(f"d{i}_") == F.col(f"d{i}")) & (F.col(f"c{i}") == F.col(f"_c{i}")), "left")
-        full = full.withColumn(name, F.concat(f"d{i}_", F.coalesce(f"s{i}", F.lit("")))).drop(f"d{i}", f"_c{i}", f"s{i}", f"d{i}_", f"c{i}")
-    return _result(full)
+    shared = stored(every.groupBy("digest").count().where("count > 1").select("digest"), "shared-digests")
+    apart = stored(tell_apart(_texts_of(base, first, shared)), "apart")
+    return _result(_with_suffixes(base, first, apart) if apart.limit(1).count() else first)
+
+
+def _edited(text: str, following: str) -> Column:
+    half = F.floor(F.length(text) / 2).cast("int")
+    return F.concat(F.substring(F.col(text), F.lit(1), F.length(text) - half), F.substring(F.col(following), F.lit(1), half))
+
+
+def _digested(df: DataFrame, text_col: str, name: str, canon: str | None = None) -> DataFrame:
+    out = with_canonical(df, text_col, canon or "_canon").withColumn(name, digest(F.col(canon or "_canon")))
+    return out if canon else out.drop("_canon")
+
+
+def _texts_of(base: DataFrame, first: DataFrame, shared: DataFrame) -> DataFrame:
+    """(digest, canon) of the texts and edited texts whose digest is shared.
+
+    Only those documents, and the ones that follow an edited one, are read again.
+    """
+    key = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    own = first.join(shared, "digest", "left_semi").select(key("doc_id").alias("_k"))
+    redo = first.where("digest <> edited_digest").join(shared.withColumnRenamed("digest", "edited_digest"), "edited_digest", "left_semi")
+    redo = redo.select(key("doc_id").alias("_k"), key("next_id").alias("_next"))
+    wanted = stored(own.unionAll(redo.select("_k")).unionAll(redo.select("_next")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = stored(base.withColumn("_k", key("doc_id")).join(wanted, "_k", "left_semi").select("_k", "text"), "texts")
+    edits = redo.join(texts, "_k").join(texts.toDF("_next", "_following"), "_next").select(_edited("text", "_following").alias("text"))
+    both = _digested(texts.join(own.distinct(), "_k", "left_semi").select("text").unionAll(edits), "text", "digest", "canon")
+    return both.join(shared, "digest", "left_semi").select("digest", "canon")
+
+
+def _with_suffixes(base: DataFrame, first: DataFrame, apart: DataFrame) -> DataFrame:
+    """For digests that stand for several texts: the text's number follows the digest.
+
+    Collisions of 128 bits do not happen by chance, so this reads all texts again.
+    """
+    full = neighbours(base, "doc_id", ["text"]).withColumn("edited", _edited("text", "next.text")).withColumn("following", F.col("next.text")).drop("next")
+    full = full.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "text", "edited", "following")
+    for text, name in (("text", "digest"), ("edited", "edited_digest"), ("following", "next_digest")):
+        full = _digested(full, text, "_d", "_c").drop(text)
+        part = apart.select(F.col("digest").alias("_pd"), F.col("canon").alias("_pc"), "suffix")
+        full = full.join(part, (F.col("_d") == F.col("_pd")) & (F.col("_c") == F.col("_pc")), "left")
+        full = full.withColumn(name, F.concat("_d", F.coalesce("suffix", F.lit("")))).drop("_d", "_c", "_pd", "_pc", "suffix")
+    return full
 
 
 def _result(df: DataFrame) -> DataFrame:
