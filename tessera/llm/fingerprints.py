@@ -228,7 +228,7 @@ def _texts_of(base: DataFrame, first: DataFrame, shared: DataFrame) -> DataFrame
     texts = stored(base.withColumn("_k", key("doc_id")).join(wanted, "_k", "left_semi").select("_k", "text"), "texts")
     edits = redo.join(texts, "_k").join(texts.toDF("_next", "_following"), "_next").select(_edited("text", "_following").alias("text"))
     both = _digested(texts.join(own.distinct(), "_k", "left_semi").select("text").unionAll(edits), "text", "digest", "canon")
-    return both.join(shared, "digest", "left_semi").select("digest", "canon")
+    return both.select("digest", "canon")  # no join on the digest here: one of them may have a third of all rows
 
 
 def _with_suffixes(base: DataFrame, first: DataFrame, apart: DataFrame) -> DataFrame:
