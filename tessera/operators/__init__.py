@@ -1,0 +1 @@
+"""Operators; functions that take and return DataFrames."""

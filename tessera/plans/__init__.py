@@ -1,0 +1 @@
+"""Queries: operators applied to the given tables, with their oracles."""

@@ -1,0 +1 @@
+"""Readers that turn fact tables into panels, and sinks."""

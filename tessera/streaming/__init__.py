@@ -1,0 +1 @@
+"""The reference has no streaming operator; none is made up here."""
