@@ -137,35 +137,36 @@ def _slots(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
     return patterns.select("context").distinct().join(counted, "context", "left").select("context", F.coalesce("slots", F.lit(0)).alias("slots"))
 
 
-def bootstrap(items: DataFrame, docs: DataFrame, text_col: str, rounds: int, support: int, confidence: float) -> DataFrame:
-    """(surface, kind) of the tokens that the patterns reveal, by rounds over the pattern-instance graph."""
+def bootstrap(items: DataFrame, docs: DataFrame, text_col: str, rounds: int, support: int, share: float, confidence: float) -> DataFrame:
+    """(surface, kind) of the tokens that the patterns reveal, by rounds over the pattern-instance graph.
+
+    A pattern precedes at least ``support`` known identifiers of its kind and
+    ``share`` of them, so there are at most 1 / share patterns of a kind at any size.
+    """
     graph = stored(items.where("context <> ''").groupBy("context", "surface", "kind").agg(F.count(F.lit(1)).alias("n")), "graph")
-    known = graph.where("kind >= 0").select("surface", "kind").distinct().withColumn("score", F.lit(1.0))
-    spread = graph.where("kind >= 0").groupBy("context", "kind").agg(F.countDistinct("surface").alias("s")).where(F.col("s") >= support)
-    new = known.limit(0)
+    seeds = graph.where("kind >= 0").select("surface", "kind").distinct().withColumn("score", F.lit(1.0))
+    known, new, slots = seeds, seeds.limit(0), None
     for _ in range(rounds):
-        if not spread.limit(1).count():
-            break
-        slots = _slots(docs, text_col, spread)
         edges = graph.drop("kind").join(known, "surface")
-        trust = (
-            edges.groupBy("context", "kind")
-            .agg(F.sum(F.col("score") * F.col("n")).alias("good"), F.countDistinct("surface").alias("s"))
-            .where(F.col("s") >= support)
-            .join(slots, "context")
-            .withColumn("trust", F.least(F.col("good") / F.greatest("slots", "good"), F.lit(1.0)))
-            .where(F.col("trust") >= confidence)
-        )
+        need = known.groupBy("kind").agg(F.greatest(F.lit(support), F.ceil(F.count(F.lit(1)) * share)).alias("need"))
+        patterns = edges.groupBy("context", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("good"), F.countDistinct("surface").alias("s"))
+        patterns = stored(patterns.join(need, "kind").where("s >= need").select("context", "kind", "good"), "patterns")
+        fresh = patterns if slots is None else patterns.join(slots, "context", "left_anti")
+        if fresh.limit(1).count():
+            counted = stored(_slots(docs, text_col, fresh), "slots")
+            slots = counted if slots is None else slots.unionAll(counted)
+        if slots is None:
+            break
+        trust = patterns.join(slots, "context").withColumn("trust", F.least(F.col("good") / F.greatest("slots", "good"), F.lit(1.0))).where(F.col("trust") >= confidence)
         reach = graph.where("kind < 0").drop("kind").join(trust.select("context", "kind", "trust"), "context")
         scored = reach.groupBy("surface", "kind").agg((1 - F.product(1 - F.col("trust"))).alias("score")).where(F.col("score") >= confidence)
         new = stored(scored.groupBy("surface").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score")), "revealed")
-        known = graph.where("kind >= 0").select("surface", "kind").distinct().withColumn("score", F.lit(1.0)).unionByName(new)
-        spread = graph.drop("kind").join(known, "surface").groupBy("context", "kind").agg(F.countDistinct("surface").alias("s")).where(F.col("s") >= support)
+        known = seeds.unionByName(new)
     return new.select("surface", F.col("kind").alias("new_kind"))
 
 
 def extract(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rounds: int = 2, support: int = 3, confidence: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rounds: int = 2, support: int = 3, share: float = 0.001, confidence: float = 0.8
 ) -> DataFrame:
     """Every row of ``docs`` with its base spans and all spans.
 
@@ -180,7 +181,7 @@ def extract(
     text = ["_text"] if keep is not None else []
     rows = stored(scanned(docs, id_col, text_col, keep or []).select(*(keep or []), *text, "_doc", "_row", "_base", "_items"), "scanned")
     items = rows.where(F.size("_items") > 0).select("_row", F.explode("_items").alias("i")).select("_row", "i.*")
-    revealed = bootstrap(items, docs, text_col, rounds, support, confidence)
+    revealed = bootstrap(items, docs, text_col, rounds, support, share, confidence)
     added = (
         items.where("kind < 0")
         .join(revealed, "surface")
