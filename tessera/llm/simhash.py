@@ -195,8 +195,20 @@ def widest_angle(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def keys_for(points: int, similarity: float, recall: float) -> tuple[int, int]:
+    """How many bits a cell's key has, and in how many tables, for a pair at the similarity to share a cell.
+
+    The key lengthens with the logarithm of the points, so that one in sixteen at
+    most meets another by chance in a table, at every size; the tables that a
+    longer key needs for the same recall grow as about the fourth root of the points.
+    """
+    bits = max(points - 1, 1).bit_length() + 4
+    share = (1 - widest_angle(similarity, 64 * _WIDE) / (64 * _WIDE)) ** bits
+    return bits, max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - share))))
+
+
 def _cells(points: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
-    """(pid, w0, cell): for each table, ``bits`` of the signature's bits, chosen once by the seed."""
+    """(pid, cell): for each table, ``bits`` of the signature's bits, chosen once by the seed."""
     rng = np.random.default_rng(seed)
     places = np.stack([rng.choice(64 * _WIDE, bits, replace=False) for _ in range(tables)])
     powers = 1 << np.arange(bits, dtype=np.int64)
@@ -206,9 +218,9 @@ def _cells(points: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
             words = np.ascontiguousarray(pdf[_wide_columns()].to_numpy(np.int64))
             on = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
             for table, chosen in enumerate(places):
-                yield pd.DataFrame({"pid": pdf["pid"], "w0": pdf["w0"], "cell": (on[:, chosen] @ powers) + (table << bits)})
+                yield pd.DataFrame({"pid": pdf["pid"], "cell": (on[:, chosen] @ powers) + (table << bits)})
 
-    return points.mapInPandas(run, "pid long, w0 long, cell long")
+    return points.mapInPandas(run, "pid long, cell long")
 
 
 def _verified(pairs: DataFrame, points: DataFrame, most: int) -> DataFrame:
@@ -219,35 +231,55 @@ def _verified(pairs: DataFrame, points: DataFrame, most: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(apart <= most).select("a", "b")
 
 
-def similar_points(points: DataFrame, similarity: float = 0.8, tables: int = 80, bits: int = 20, crowded: int = CROWDED, seed: int = 3) -> DataFrame:
-    """Edges (a, b) between points (pid, w0, ..., w15) at the similarity or above, as their signatures tell it.
+def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0.95, loose: int = 22, rounds: int = 2, seed: int = 3) -> DataFrame:
+    """Edges (a, b) whose components are those of the point pairs (pid, w0, ..., w15) that share a cell and are similar.
 
-    The grid's cells are counts over segments of one bit, ``bits`` of them at a
-    time, in ``tables`` grids: at this distance wider segments separate too
-    little. Two points at 0.8 share a cell with probability 0.95, at 0.9 above
-    0.999. In cells with over ``crowded`` points all are held against one; those
-    unlike it are held against the whole cell.
+    The grid's cells are counts over segments of one bit, some bits at a time, in
+    many tables (``keys_for``): at this distance wider segments separate too
+    little. A pair at the similarity shares a cell with probability ``recall``. A
+    candidate's first words may differ in ``loose`` bits, its whole signatures in
+    as many as the similarity allows. A cell of two points is a candidate pair.
+    In fuller cells each point is first held against one leader, in ``rounds``
+    passes, and what that links is one class; then all pairs of different classes
+    are compared, so that a large group of near copies is not paired with itself
+    and no link between classes is lost.
     """
-    most, loose = widest_angle(similarity, 64 * _WIDE), 22
+    most = widest_angle(similarity, 64 * _WIDE)
+    bits, tables = keys_for(points.count(), similarity, recall)
     cells = _cells(points, tables, bits, seed)
-    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first")).where("n > 1")
-    busy = stored(cells.join(counts, "cell"), "wide-cells")
-    few, many = busy.where(F.col("n") <= crowded), busy.where(F.col("n") > crowded)
-
-    def pairs(x: DataFrame, y: DataFrame, both: bool) -> DataFrame:
-        a = x.select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"))
-        b = y.select("cell", F.col("pid").alias("b"), F.col("w0").alias("wb"))
-        order = F.col("a") > F.col("b") if both else F.col("a") != F.col("b")
-        near = a.join(b, "cell").where(order & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= loose))
-        return near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    edges = stored(_verified(pairs(few, few, True), points, most), "wide-edges")
-    if many.limit(1).count():
-        star = _verified(many.where("pid <> first").select(F.col("pid").alias("a"), F.col("first").alias("b")).distinct(), points, most)
-        star = stored(star, "wide-stars")
-        rest = many.where("pid <> first").join(star.select(F.col("a").alias("pid"), F.col("b").alias("first")), ["pid", "first"], "left_anti")
-        edges = edges.unionAll(star).unionAll(_verified(pairs(rest, many, False), points, most))
-    return edges
+    counts = stored(
+        cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("b"), F.max("pid").alias("a")).where("n > 1"), "wide-counts"
+    )
+    first = points.select("pid", "w0")
+    like = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= loose
+    twos = counts.where("n = 2").select("a", "b").distinct()
+    twos = twos.join(first.toDF("a", "wa"), "a").join(first.toDF("b", "wb"), "b").where(like).select("a", "b")
+    edges = stored(_verified(twos, points, most), "wide-edges")
+    full = counts.where("n > 2").select("cell")
+    members = stored(cells.join(full, "cell"), "wide-cells")
+
+    def classed() -> tuple[DataFrame, DataFrame]:
+        """The members with their classes, where a cell has several, and each such cell's least member by class."""
+        roots = components(edges).withColumnRenamed("node", "pid")
+        known = members.join(first.join(roots, "pid", "left").select("pid", "w0", F.coalesce("root", "pid").alias("class")), "pid")
+        least = F.min(F.struct("class", "pid", "w0")).alias("lead")
+        leads = known.groupBy("cell").agg(least, F.max("class").alias("last")).where("lead.class < last").select("cell", "lead")
+        return known, leads
+
+    for _ in range(rounds):
+        known, leads = classed()
+        own = known.select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), "class")
+        others = leads.select("cell", F.col("lead.pid").alias("b"), F.col("lead.w0").alias("wb"), F.col("lead.class").alias("of"))
+        star = own.join(others, (own["cell"] == others["cell"]) & (F.col("class") > F.col("of")) & like).groupBy("a").agg(F.min("b").alias("b"))
+        edges = stored(edges.unionAll(_verified(star, points, most)), "wide-edges")
+    known, leads = classed()
+    mixed = stored(known.join(leads, "cell").select("cell", "pid", "w0", "class", F.col("lead.class").alias("of")), "wide-mixed")
+    a = mixed.where("class > of").select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), F.col("class").alias("ca"))
+    b = mixed.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("w0").alias("wb"), F.col("class").alias("cb"), "of")
+    once = (F.col("cb") == F.col("of")) | ((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")))
+    rest = a.join(b, (F.col("cell") == F.col("cell_b")) & once & like)
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return edges.unionAll(_verified(rest, points, most))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -48,8 +48,8 @@ def test_stages(spark, stages):
     assert {r.doc_id for r in stages[3].collect()} == set(masked)
 
 
-def test_one_of_each_crowded(spark):
-    """With nearly all cells crowded the same rows stay."""
+def test_one_of_each_classes(spark):
+    """Pairing only between the classes that leaders found keeps the same rows as pairing all."""
     rng = np.random.default_rng(2)
     vocab = [f"w{i}" for i in range(500)]
     texts = []
@@ -63,11 +63,20 @@ def test_one_of_each_crowded(spark):
     rows = [*enumerate(texts), (500, None), (501, ""), (None, texts[0]), (7, texts[7]), (7, texts[7])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pid", __import__("pyspark").sql.functions.lit(1))
     plain = sorted(r.doc_id for r in simhash.one_of_each(df).collect())
-    assert plain == sorted(r.doc_id for r in simhash.one_of_each(df, crowded=2).collect())
+    for rounds in (0, 1):
+        assert plain == sorted(r.doc_id for r in simhash.one_of_each(df, rounds=rounds).collect())
     assert len(plain) <= 8 + 4 and plain[0] == 0
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_keys_lengthen():
+    """The chance of a meeting without likeness stays; so does the recall."""
+    for n in (1, 2, 1000, 10**6, 10**10):
+        bits, tables = simhash.keys_for(n, 0.8, 0.95)
+        assert n / 2**bits <= 1 / 16 and 1 - (1 - (1 - 155 / 1024) ** bits) ** tables >= 0.949
+    assert simhash.keys_for(10**10, 0.8, 0.95)[0] == 38
+
+
 def test_masking_keeps_null_and_plain_texts(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "no data", 7), (3, "to a@b.cd now", 13)], "doc_id long, text string, n_chars int")
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.personal_data(spark, df, "").collect()}
