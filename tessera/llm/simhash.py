@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, points: DataFrame, most: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(apart <= most).select("a", "b")
 
 
-def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0.95, loose: int = 22, rounds: int = 2, seed: int = 3) -> DataFrame:
+def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0.95, loose: int = 22, rounds: int = 1, seed: int = 3) -> DataFrame:
     """Edges (a, b) whose components are those of the point pairs (pid, w0, ..., w15) that share a cell and are similar.
 
     The grid's cells are counts over segments of one bit, some bits at a time, in
@@ -246,22 +246,18 @@ def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0
     """
     most = widest_angle(similarity, 64 * _WIDE)
     bits, tables = keys_for(points.count(), similarity, recall)
-    cells = _cells(points, tables, bits, seed)
-    counts = stored(
-        cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("b"), F.max("pid").alias("a")).where("n > 1"), "wide-counts"
-    )
+    cells = _cells(points, tables, bits, seed).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell")))
+    met = stored(cells.where("n > 1"), "wide-cells")
     first = points.select("pid", "w0")
     like = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= loose
-    twos = counts.where("n = 2").select("a", "b").distinct()
+    twos = met.where("n = 2").groupBy("cell").agg(F.max("pid").alias("a"), F.min("pid").alias("b")).select("a", "b").distinct()
     twos = twos.join(first.toDF("a", "wa"), "a").join(first.toDF("b", "wb"), "b").where(like).select("a", "b")
-    edges = stored(_verified(twos, points, most), "wide-edges")
-    full = counts.where("n > 2").select("cell")
-    members = stored(cells.join(full, "cell"), "wide-cells")
+    edges = components(_verified(twos, points, most))
+    members = met.where("n > 2").select("cell", "pid")
 
     def classed() -> tuple[DataFrame, DataFrame]:
         """The members with their classes, where a cell has several, and each such cell's least member by class."""
-        roots = components(edges).withColumnRenamed("node", "pid")
-        known = members.join(first.join(roots, "pid", "left").select("pid", "w0", F.coalesce("root", "pid").alias("class")), "pid")
+        known = members.join(first.join(edges.withColumnRenamed("node", "pid"), "pid", "left").select("pid", "w0", F.coalesce("root", "pid").alias("class")), "pid")
         least = F.min(F.struct("class", "pid", "w0")).alias("lead")
         leads = known.groupBy("cell").agg(least, F.max("class").alias("last")).where("lead.class < last").select("cell", "lead")
         return known, leads
@@ -271,7 +267,7 @@ def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0
         own = known.select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), "class")
         others = leads.select("cell", F.col("lead.pid").alias("b"), F.col("lead.w0").alias("wb"), F.col("lead.class").alias("of"))
         star = own.join(others, (own["cell"] == others["cell"]) & (F.col("class") > F.col("of")) & like).groupBy("a").agg(F.min("b").alias("b"))
-        edges = stored(edges.unionAll(_verified(star, points, most)), "wide-edges")
+        edges = components(edges.toDF("a", "b").unionAll(_verified(star, points, most)))
     known, leads = classed()
     mixed = stored(known.join(leads, "cell").select("cell", "pid", "w0", "class", F.col("lead.class").alias("of")), "wide-mixed")
     a = mixed.where("class > of").select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), F.col("class").alias("ca"))
@@ -279,14 +275,14 @@ def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0
     once = (F.col("cb") == F.col("of")) | ((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")))
     rest = a.join(b, (F.col("cell") == F.col("cell_b")) & once & like)
     rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return edges.unionAll(_verified(rest, points, most))
+    return edges.toDF("a", "b").unionAll(_verified(rest, points, most))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the least id (null ids last).
 
     Null texts are empty; texts without words form one group. Repeated rows are
-    copies. All columns stay; ``_text_hash`` is used inside.
+    copies. All columns stay; ``_text_hash`` and ``_key`` are used inside.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
     keyed = docs.withColumn("_text_hash", text_hash)
@@ -298,7 +294,11 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     )
     found = components(similar_points(points, similarity, **how))
     rooted = points.select("pid", "key").join(found, points["pid"] == found["node"], "left")
-    kept = rooted.groupBy(F.coalesce("root", "pid").alias("root")).agg(F.min("key").alias("key")).select("key.doc_id", "key.h")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    chosen = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi")
-    return chosen.dropDuplicates([id_col, "_text_hash"]).select(*docs.columns)
+    kept = rooted.groupBy(F.coalesce("root", "pid").alias("root")).agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"))
+    # the texts are dealt once by this key, for the join and for the repeated rows
+    kept = kept.select("_id", "_h", F.xxhash64("_id", "_h").alias("_key"))
+    keyed = keyed.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), "_text_hash"))
+    apart = F.coalesce(F.col(id_col).cast("long"), F.lit(0)).bitwiseXOR(F.coalesce("_id", F.lit(0)))
+    same = (keyed["_key"] == kept["_key"]) & (apart.bitwiseOR(F.col("_text_hash").bitwiseXOR(F.col("_h"))) == 0)
+    chosen = keyed.join(kept, same, "left_semi")
+    return chosen.dropDuplicates(["_key", id_col, "_text_hash"]).select(*docs.columns)
