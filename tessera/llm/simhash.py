@@ -231,7 +231,7 @@ def _verified(pairs: DataFrame, points: DataFrame, most: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(apart <= most).select("a", "b")
 
 
-def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0.95, loose: int = 22, rounds: int = 1, seed: int = 3) -> DataFrame:
+def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0.95, loose: int = 22, rounds: int = 2, seed: int = 3) -> DataFrame:
     """Edges (a, b) whose components are those of the point pairs (pid, w0, ..., w15) that share a cell and are similar.
 
     The grid's cells are counts over segments of one bit, some bits at a time, in
@@ -240,8 +240,8 @@ def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0
     candidate's first words may differ in ``loose`` bits, its whole signatures in
     as many as the similarity allows. A cell of two points is a candidate pair.
     In fuller cells each point is first held against one leader, in ``rounds``
-    passes, and what that links is one class; then all pairs of different classes
-    are compared, so that a large group of near copies is not paired with itself
+    passes, the least and the closest of its cells, and what that links is one class;
+    then all pairs of different classes are compared in whole signatures, so that a large group of near copies is not paired with itself
     and no link between classes is lost.
     """
     most = widest_angle(similarity, 64 * _WIDE)
@@ -266,16 +266,21 @@ def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0
         known, leads = classed()
         own = known.select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), "class")
         others = leads.select("cell", F.col("lead.pid").alias("b"), F.col("lead.w0").alias("wb"), F.col("lead.class").alias("of"))
-        star = own.join(others, (own["cell"] == others["cell"]) & (F.col("class") > F.col("of")) & like).groupBy("a").agg(F.min("b").alias("b"))
+        led = own.join(others, (own["cell"] == others["cell"]) & (F.col("class") > F.col("of")) & like).groupBy("a")
+        led = led.agg(F.min("b").alias("least"), F.min(F.struct(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))).alias("d"), "b")).alias("closest"))
+        star = led.select("a", F.explode(F.array_distinct(F.array("least", "closest.b"))).alias("b"))
         edges = components(edges.toDF("a", "b").unionAll(_verified(star, points, most)))
     known, leads = classed()
-    mixed = stored(known.join(leads, "cell").select("cell", "pid", "w0", "class", F.col("lead.class").alias("of")), "wide-mixed")
-    a = mixed.where("class > of").select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), F.col("class").alias("ca"))
-    b = mixed.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("w0").alias("wb"), F.col("class").alias("cb"), "of")
+    words = points.select("pid", F.array(*_wide_columns()).alias("w"))
+    mixed = known.join(leads, "cell").select("cell", "pid", "class", F.col("lead.class").alias("of"))
+    mixed = stored(mixed.join(words, "pid"), "wide-mixed")
+    a = mixed.where("class > of").select("cell", F.col("pid").alias("a"), F.col("w").alias("wa"), F.col("class").alias("ca"))
+    b = mixed.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("w").alias("wb"), F.col("class").alias("cb"), "of")
     once = (F.col("cb") == F.col("of")) | ((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")))
-    rest = a.join(b, (F.col("cell") == F.col("cell_b")) & once & like)
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return edges.toDF("a", "b").unionAll(_verified(rest, points, most))
+    apart = sum(F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(_WIDE))
+    alike = (F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])) <= loose) & (apart <= most)
+    rest = a.join(b, (F.col("cell") == F.col("cell_b")) & once & alike)
+    return edges.toDF("a", "b").unionAll(rest.select("a", "b").distinct())
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
