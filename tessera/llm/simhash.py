@@ -58,20 +58,21 @@ def signatures(texts: list[str], size: int, lanes: int = 1) -> np.ndarray:
 
     Bits are counted eight at a time in the bytes of a word, over at most 255 hashes, and these counts added.
     """
-    hashes, sizes = [], np.zeros(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        own = shingle_hashes(text, size)
-        sizes[i] = len(own)
-        hashes += own
-    out = np.zeros((len(texts), lanes), dtype=np.uint64)
-    if not hashes:
+    return set_signatures([np.array(shingle_hashes(t, size), dtype=np.uint64) for t in texts], lanes)
+
+
+def set_signatures(sets: list[np.ndarray], lanes: int) -> np.ndarray:
+    """``signatures`` of texts that are given as their hashes."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    out = np.zeros((len(sets), lanes), dtype=np.uint64)
+    if not sizes.any():
         return out
     full = np.flatnonzero(sizes)
     parts = -(-sizes[full] // 255)
     first = np.cumsum(parts) - parts
     within = np.arange(parts.sum()) - np.repeat(first, parts)
     starts = np.repeat(np.cumsum(sizes)[full] - sizes[full], parts) + 255 * within
-    h0 = np.array(hashes, dtype=np.uint64)
+    h0 = np.concatenate(sets)
     for lane in range(lanes):
         h = _mixed(h0, lane)
         sums = np.stack([np.add.reduceat((h >> np.uint64(k)) & _LANES, starts) for k in range(8)], axis=1)
@@ -201,86 +202,161 @@ def keys_for(points: int, similarity: float, recall: float) -> tuple[int, int]:
     The key lengthens with the logarithm of the points, so that one in sixteen at
     most meets another by chance in a table, at every size; the tables that a
     longer key needs for the same recall grow as about the fourth root of the points.
+    ``similar_points`` no longer uses these tables: it misses no pair.
     """
     bits = max(points - 1, 1).bit_length() + 4
     share = (1 - widest_angle(similarity, 64 * _WIDE) / (64 * _WIDE)) ** bits
     return bits, max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - share))))
 
 
-def _cells(points: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
-    """(pid, cell): for each table, ``bits`` of the signature's bits, chosen once by the seed."""
-    rng = np.random.default_rng(seed)
-    places = np.stack([rng.choice(64 * _WIDE, bits, replace=False) for _ in range(tables)])
-    powers = 1 << np.arange(bits, dtype=np.int64)
+#: Signatures of pairs at the similarity or above differ in at most so many bits: six
+#: deviations over the mean of the least alike such sets (four shingles of five, 3/16 of the bits).
+FAR = 64 * _WIDE * 3 // 16 + 75
+
+
+def shingled(docs: DataFrame, size: int, id_col: str, text_col: str, extra: Column) -> DataFrame:
+    """(doc_id, extra, pid, m, w, shingles): each text's set of shingles as sorted hashes, its number, size and signature.
+
+    Texts of one set have one number, a hash of the set; -1 is that of no shingle.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), extra.cast("long").alias("extra"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = np.ascontiguousarray(pdf[_wide_columns()].to_numpy(np.int64))
-            on = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
-            for table, chosen in enumerate(places):
-                yield pd.DataFrame({"pid": pdf["pid"], "cell": (on[:, chosen] @ powers) + (table << bits)})
+            texts = pdf["text"].tolist()
+            for part in _batches(texts):
+                sets = [np.unique(np.array(shingle_hashes(t, size), dtype=np.uint64)) for t in texts[part]]
+                pids = [xxhash.xxh64_intdigest(x.tobytes(), 7) >> 1 if len(x) else -1 for x in sets]
+                words = list(set_signatures(sets, _WIDE).view(np.int64))
+                out = pdf[["doc_id", "extra"]].iloc[part].reset_index(drop=True)
+                yield out.assign(pid=pids, m=[len(x) for x in sets], w=words, shingles=[x.view(np.int64) for x in sets])
+
+    return rows.mapInPandas(run, "doc_id long, extra long, pid long, m int, w array<long>, shingles array<long>")
+
+
+def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``bits`` (a power of two) with those of the column ``key`` set: at most bits / 64 rows reach the driver."""
+    at = F.col("key").bitwiseAND(F.lit(bits - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((key & {bits - 1}L) & 63 AS INT))")).alias("x")).collect()
+    out = np.zeros(max(bits // 64, 1), dtype=np.uint64)
+    for i, x in words:
+        out[i] = np.uint64(x & (2**64 - 1))
+    return out
+
 
-    return points.mapInPandas(run, "pid long, cell long")
+def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) & np.uint64(64 * len(table) - 1)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _verified(pairs: DataFrame, points: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose whole signatures differ in at most ``most`` bits."""
-    a = points.select(F.col("pid").alias("a"), *[F.col(c).alias(f"a{c}") for c in _wide_columns()])
-    b = points.select(F.col("pid").alias("b"), *[F.col(c).alias(f"b{c}") for c in _wide_columns()])
-    apart = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _wide_columns())
-    return pairs.join(a, "a").join(b, "b").where(apart <= most).select("a", "b")
+def _power(n: int) -> int:
+    return 1 << max(n - 1, 1).bit_length()
 
 
-def similar_points(points: DataFrame, similarity: float = 0.8, recall: float = 0.95, loose: int = 22, rounds: int = 2, seed: int = 3) -> DataFrame:
-    """Edges (a, b) whose components are those of the point pairs (pid, w0, ..., w15) that share a cell and are similar.
+def common_shingles(rows: DataFrame, points: int, one_in: int = 16, often: int = 4) -> np.ndarray:
+    """A table of the hashes of shingles that ``often`` sets of the sample hold (others of equal hash count as common too)."""
+    some = rows.where(F.col("pid") % one_in == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= often)
+    return _bitmap(some.select("key"), min(max(_power(64 * points), 1 << 16), 1 << 26))
 
-    The grid's cells are counts over segments of one bit, some bits at a time, in
-    many tables (``keys_for``): at this distance wider segments separate too
-    little. A pair at the similarity shares a cell with probability ``recall``. A
-    candidate's first words may differ in ``loose`` bits, its whole signatures in
-    as many as the similarity allows. A cell of two points is a candidate pair.
-    In fuller cells each point is first held against one leader, in ``rounds``
-    passes, the least and the closest of its cells, and what that links is one class;
-    then all pairs of different classes are compared in whole signatures, so that a large group of near copies is not paired with itself
+
+def _prefixes(rows: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """(pid, m, cell): the shingles of each set of which one at least is shared by any set at the similarity.
+
+    Sets of m and n shingles that share at least the similarity of their union share at least
+    that part of m; so, in one order of all shingles, they meet in the first m - similarity * m + 1.
+    The order puts common shingles last. It may be any: only the number of meetings depends on it.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part in range(0, len(pdf), 500):
+                pid, m, cell = [], [], []
+                for p, x in zip(pdf["pid"].iloc[part : part + 500], pdf["shingles"].iloc[part : part + 500], strict=True):
+                    x = np.ascontiguousarray(x, dtype=np.int64)
+                    n = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                    cell.append(x[np.argsort(_marked(held.value, x), kind="stable")[:n]])
+                    pid.append(np.full(len(cell[-1]), p))
+                    m.append(np.full(len(cell[-1]), len(x)))
+                if cell:
+                    yield pd.DataFrame({"pid": np.concatenate(pid), "m": np.concatenate(m), "cell": np.concatenate(cell)})
+
+    return rows.where("m > 0").select("pid", "shingles").mapInPandas(run, "pid long, m int, cell long")
+
+
+def _sets(rows: DataFrame, pairs: DataFrame, points: int) -> DataFrame:
+    """(pid, s) of the sets that the pairs name (and a few others): they alone are dealt out."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    held = rows.sparkSession.sparkContext.broadcast(_bitmap(named, min(max(_power(16 * points), 1 << 12), 1 << 28)))
+
+    @F.pandas_udf("boolean")
+    def wanted(pid: pd.Series) -> pd.Series:
+        return pd.Series(_marked(held.value, pid.to_numpy(np.int64)))
+
+    return rows.select("pid", "shingles").where(wanted("pid")).groupBy("pid").agg(F.first("shingles").alias("s"))
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, points: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets share at least ``similarity`` of their union; ``a`` should be the one that is seldom repeated."""
+    pairs = stored(pairs, "wide-pairs")
+    sets = stored(_sets(rows, pairs, points), "wide-sets")
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = both >= similarity * (F.size("sa") + F.size("sb") - both)
+    return pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").where(alike).select("a", "b")
+
+
+def similar_points(rows: DataFrame, points: DataFrame, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of sets at the similarity or above.
+
+    ``points`` (pid, m, w) has one row for each set; ``rows`` has the shingles. Sets that are
+    alike share a cell (``_prefixes``); sizes and signatures only drop pairs that cannot be
+    alike (``FAR``), and sets decide. A cell of two points is a candidate pair. In fuller
+    cells each point is first held against one leader, in ``rounds`` passes, the least and
+    the closest of its cells, and what that links is one class; then all pairs of different
+    classes are compared, so that a large group of near copies is not paired with itself
     and no link between classes is lost.
     """
-    most = widest_angle(similarity, 64 * _WIDE)
-    bits, tables = keys_for(points.count(), similarity, recall)
-    cells = _cells(points, tables, bits, seed).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell")))
+    n = points.count()
+    cells = _prefixes(rows, common_shingles(rows, n), similarity).distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell")))
     met = stored(cells.where("n > 1"), "wide-cells")
-    first = points.select("pid", "w0")
-    like = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= loose
-    twos = met.where("n = 2").groupBy("cell").agg(F.max("pid").alias("a"), F.min("pid").alias("b")).select("a", "b").distinct()
-    twos = twos.join(first.toDF("a", "wa"), "a").join(first.toDF("b", "wb"), "b").where(like).select("a", "b")
-    edges = components(_verified(twos, points, most))
-    members = met.where("n > 2").select("cell", "pid")
+    words = points.select("pid", "w")
+    apart = sum(F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(_WIDE))
+
+    def sized(a: str, b: str) -> Column:
+        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+
+    twos = met.where("n = 2").groupBy("cell").agg(F.max(F.struct("pid", "m")).alias("x"), F.min(F.struct("pid", "m")).alias("y"))
+    twos = twos.where(sized("x.m", "y.m")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b")).distinct()
+    twos = twos.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").where(apart <= FAR).select("a", "b")
+    edges = components(_verified(twos, rows, n, similarity))
+    members = met.where("n > 2").select("cell", "pid", "m")
+    first = points.select("pid", F.col("w")[0].alias("w0"))
 
     def classed() -> tuple[DataFrame, DataFrame]:
         """The members with their classes, where a cell has several, and each such cell's least member by class."""
         known = members.join(first.join(edges.withColumnRenamed("node", "pid"), "pid", "left").select("pid", "w0", F.coalesce("root", "pid").alias("class")), "pid")
-        least = F.min(F.struct("class", "pid", "w0")).alias("lead")
+        least = F.min(F.struct("class", "pid", "w0", "m")).alias("lead")
         leads = known.groupBy("cell").agg(least, F.max("class").alias("last")).where("lead.class < last").select("cell", "lead")
         return known, leads
 
     for _ in range(rounds):
         known, leads = classed()
-        own = known.select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), "class")
-        others = leads.select("cell", F.col("lead.pid").alias("b"), F.col("lead.w0").alias("wb"), F.col("lead.class").alias("of"))
-        led = own.join(others, (own["cell"] == others["cell"]) & (F.col("class") > F.col("of")) & like).groupBy("a")
-        led = led.agg(F.min("b").alias("least"), F.min(F.struct(F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))).alias("d"), "b")).alias("closest"))
+        own = known.select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), F.col("m").alias("ma"), "class")
+        others = leads.select("cell", F.col("lead.pid").alias("b"), F.col("lead.w0").alias("wb"), F.col("lead.m").alias("mb"), F.col("lead.class").alias("of"))
+        near = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb")))
+        # these pairs only make classes early, so this limit loses no link
+        led = own.join(others, (own["cell"] == others["cell"]) & (F.col("class") > F.col("of")) & sized("ma", "mb") & (near <= 22)).groupBy("a")
+        led = led.agg(F.min("b").alias("least"), F.min(F.struct(near.alias("d"), "b")).alias("closest"))
         star = led.select("a", F.explode(F.array_distinct(F.array("least", "closest.b"))).alias("b"))
-        edges = components(edges.toDF("a", "b").unionAll(_verified(star, points, most)))
+        edges = components(edges.toDF("a", "b").unionAll(_verified(star, rows, n, similarity)))
     known, leads = classed()
-    words = points.select("pid", F.array(*_wide_columns()).alias("w"))
-    mixed = known.join(leads, "cell").select("cell", "pid", "class", F.col("lead.class").alias("of"))
+    mixed = known.join(leads, "cell").select("cell", "pid", "m", "class", F.col("lead.class").alias("of"))
     mixed = stored(mixed.join(words, "pid"), "wide-mixed")
-    a = mixed.where("class > of").select("cell", F.col("pid").alias("a"), F.col("w").alias("wa"), F.col("class").alias("ca"))
-    b = mixed.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("w").alias("wb"), F.col("class").alias("cb"), "of")
+    a = mixed.where("class > of").select("cell", F.col("pid").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa"), F.col("class").alias("ca"))
+    b = mixed.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"), F.col("class").alias("cb"), "of")
     once = (F.col("cb") == F.col("of")) | ((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")))
-    apart = sum(F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(_WIDE))
-    alike = (F.bit_count(F.col("wa")[0].bitwiseXOR(F.col("wb")[0])) <= loose) & (apart <= most)
-    rest = a.join(b, (F.col("cell") == F.col("cell_b")) & once & alike)
-    return edges.toDF("a", "b").unionAll(rest.select("a", "b").distinct())
+    rest = a.join(b, (F.col("cell") == F.col("cell_b")) & once & sized("ma", "mb") & (apart <= FAR)).select("a", "b").distinct()
+    return edges.toDF("a", "b").unionAll(_verified(rest, rows, n, similarity))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -291,13 +367,14 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
     keyed = docs.withColumn("_text_hash", text_hash)
-    rows = fingerprint_words(docs.select(id_col, text_col), size, _WIDE, id_col, text_col, extra=text_hash)
-    sigs = stored(rows, "signatures")
+    sigs = stored(shingled(docs.select(id_col, text_col), size, id_col, text_col, extra=text_hash), "shingles")
     points = stored(
-        sigs.groupBy(*_wide_columns()).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("extra").alias("h"))).alias("key")).withColumn("pid", F.monotonically_increasing_id()),
+        sigs.groupBy("pid", "m", *[F.col("w")[i].alias(c) for i, c in enumerate(_wide_columns())])
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("extra").alias("h"))).alias("key"))
+        .select("pid", "m", F.array(*_wide_columns()).alias("w"), "key"),
         "wide-points",
     )
-    found = components(similar_points(points, similarity, **how))
+    found = components(similar_points(sigs, points, similarity, **how))
     rooted = points.select("pid", "key").join(found, points["pid"] == found["node"], "left")
     kept = rooted.groupBy(F.coalesce("root", "pid").alias("root")).agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"))
     # the texts are dealt once by this key, for the join and for the repeated rows

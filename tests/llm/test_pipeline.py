@@ -82,3 +82,36 @@ def test_masking_keeps_null_and_plain_texts(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.personal_data(spark, df, "").collect()}
     assert got == {1: (None, 0), 2: ("no data", 7), 3: ("to [EMAIL] now", 14)}
     assert pii.KINDS[0] == "email"
+
+
+def test_one_of_each_is_exact_at_the_limit(spark):
+    """All pairs at 0.80 and above are linked and none below, short and long texts, and texts that repeat a run."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for g in range(150):
+        size = int(rng.integers(8, 250))
+        base = [f"g{g}w{i}" for i in range(size)]
+        for _ in range(2):
+            own = list(base)
+            # a changed end changes one shingle for each word: similarities lie about 0.8
+            cut = max(1, round((size - 4) * rng.uniform(0.09, 0.13)))
+            own[-cut:] = [f"x{rng.integers(10**9)}" for _ in range(cut)]
+            texts.append(" ".join(own))
+    texts += ["again " * 300 + " ".join(f"r{k}v{i}" for i in range(40)) for k in range(2)]
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alike = [5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in zip(range(0, 300, 2), range(1, 300, 2), strict=True)]
+    assert 30 < sum(alike) < 120
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert got == {top(x) for x in range(len(texts))}
