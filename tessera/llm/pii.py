@@ -31,6 +31,8 @@ _CUE = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 _WORD = r"[^\s=:\"'<>(),;]"
 _TOKEN = rf"(?<!{_WORD})(?={_WORD}*[0-9@]){_WORD}++"
 CONTEXT_CHARS = 64
+#: The part of the documents whose slots are counted first.
+_ONE_IN = 16
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -137,22 +139,27 @@ def _slots(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
     return patterns.select("context").distinct().join(counted, "context", "left").select("context", F.coalesce("slots", F.lit(0)).alias("slots"))
 
 
-def bootstrap(items: DataFrame, docs: DataFrame, text_col: str, rounds: int, support: int, share: float, confidence: float) -> DataFrame:
+def bootstrap(items: DataFrame, docs: DataFrame, text_col: str, rounds: int, support: int, confidence: float) -> DataFrame:
     """(surface, kind) of the tokens that the patterns reveal, by rounds over the pattern-instance graph.
 
-    A pattern precedes at least ``support`` known identifiers of its kind and
-    ``share`` of them, so there are at most 1 / share patterns of a kind at any size.
+    A pattern precedes at least ``support`` known identifiers of its kind, at every size.
+    The slots of some of the documents bound the slots of all from below: patterns that
+    these already make untrue are not counted further. What is left stands at about
+    ``_ONE_IN`` times as many places as the identifiers it precedes, so counting is linear.
     """
     graph = stored(items.where("context <> ''").groupBy("context", "surface", "kind").agg(F.count(F.lit(1)).alias("n")), "graph")
     seeds = graph.where("kind >= 0").select("surface", "kind").distinct().withColumn("score", F.lit(1.0))
     known, new, slots = seeds, seeds.limit(0), None
     for _ in range(rounds):
         edges = graph.drop("kind").join(known, "surface")
-        need = known.groupBy("kind").agg(F.greatest(F.lit(support), F.ceil(F.count(F.lit(1)) * share)).alias("need"))
         patterns = edges.groupBy("context", "kind").agg(F.sum(F.col("score") * F.col("n")).alias("good"), F.countDistinct("surface").alias("s"))
-        patterns = stored(patterns.join(need, "kind").where("s >= need").select("context", "kind", "good"), "patterns")
+        patterns = stored(patterns.where(F.col("s") >= support).select("context", "kind", "good"), "patterns")
         fresh = patterns if slots is None else patterns.join(slots, "context", "left_anti")
         if fresh.limit(1).count():
+            # one that is left out here is tried again in the next round, when more may be known
+            most = fresh.groupBy("context").agg(F.max("good").alias("good"))
+            some = docs.where(F.pmod(F.xxhash64(whole_text(text_col)), F.lit(_ONE_IN)) == 0)
+            fresh = stored(most.join(_slots(some, text_col, fresh), "context").where(F.col("good") >= confidence * F.col("slots") - 1e-9).select("context"), "fresh")
             counted = stored(_slots(docs, text_col, fresh), "slots")
             slots = counted if slots is None else slots.unionAll(counted)
         if slots is None:
@@ -166,7 +173,7 @@ def bootstrap(items: DataFrame, docs: DataFrame, text_col: str, rounds: int, sup
 
 
 def extract(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rounds: int = 2, support: int = 3, share: float = 0.001, confidence: float = 0.8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, rounds: int = 2, support: int = 3, confidence: float = 0.8
 ) -> DataFrame:
     """Every row of ``docs`` with its base spans and all spans.
 
@@ -181,7 +188,7 @@ def extract(
     text = ["_text"] if keep is not None else []
     rows = stored(scanned(docs, id_col, text_col, keep or []).select(*(keep or []), *text, "_doc", "_row", "_base", "_items"), "scanned")
     items = rows.where(F.size("_items") > 0).select("_row", F.explode("_items").alias("i")).select("_row", "i.*")
-    revealed = bootstrap(items, docs, text_col, rounds, support, share, confidence)
+    revealed = bootstrap(items, docs, text_col, rounds, support, confidence)
     added = (
         items.where("kind < 0")
         .join(revealed, "surface")

@@ -105,6 +105,13 @@ def test_op1_contexts_reveal_unseen_identifiers(spark):
     assert masked[12] == "please call us at hotline number [PHONE] today" and masked[13] == texts[13] and masked[15] == ""
 
 
+def test_op1_support_does_not_grow_with_the_seeds(spark):
+    texts = [f"w{i} v{i} +1 (555) 01{i // 10000}-{i % 10000:04d}" for i in range(5200)]
+    texts += [f"call hotline number +1 (555) 777-{i:04d} today" for i in range(5)] + ["call hotline number 0455-AB-9912"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.report(df).where("n_added > 0").collect()} == {5205: "phone:20:32"}
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return Tokenizer.from_file(P.path("word_bpe_49k.json"))
