@@ -30,7 +30,7 @@ _CUE = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 #: The characters of words in lexical patterns, and an identifier-like word.
 _WORD = r"[^\s=:\"'<>(),;]"
 _TOKEN = rf"(?<!{_WORD})(?={_WORD}*[0-9@]){_WORD}++"
-CONTEXT_CHARS = 64
+CONTEXT_CHARS = (64, 1024)
 #: The part of the documents whose slots are counted first.
 _ONE_IN = 16
 SPAN = "array<struct<start:int,kind:int,end:int>>"
@@ -91,10 +91,24 @@ def joined(spans: Column) -> Column:
 
 
 def _context(text: Column, start: Column) -> Column:
-    """The two words before a position, lower-cased; fewer at the start of a text."""
-    window = F.lower(F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS))))
-    words = _words(window)
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " ")
+    """The two words before a position, whole and lower-cased; fewer at the start of a text.
+
+    They are read from the characters before it; a first word that may be cut does not count,
+    and where fewer than two are left, more characters are read.
+    """
+
+    def last_two(words: Column) -> Column:
+        return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " ")
+
+    def within(chars: int, more: Column) -> Column:
+        window = F.lower(F.substring(text, F.greatest(start - chars, F.lit(0)) + 1, F.least(start, F.lit(chars))))
+        known = F.transform(F.array(_words(window)), lambda w: F.when((start <= chars) | (F.size(w) > 2), last_two(w)).otherwise(more))
+        return F.element_at(known, 1)
+
+    found = last_two(_words(F.lower(F.substring(text, F.lit(1), start))))
+    for chars in reversed(CONTEXT_CHARS):
+        found = within(chars, found)
+    return found
 
 
 def _words(text: Column) -> Column:
@@ -116,7 +130,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
 
 
 def _slots(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
-    """How often each pattern's words stand in all documents (context, slots).
+    """How often each pattern's words stand in all documents (context, slots); one word only counts at the start of a text.
 
     A table of 65,536 bits, made from the patterns' hashes, drops most word pairs
     before they are counted; the join decides.
@@ -134,7 +148,7 @@ def _slots(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
 
     words = _words(F.lower(whole_text(text_col)))
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    kept = F.filter(pairs, marked)
+    kept = F.filter(F.concat(F.slice(words, F.lit(1), F.lit(1)), pairs), marked)
     counted = docs.select(F.explode(kept).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("slots"))
     return patterns.select("context").distinct().join(counted, "context", "left").select("context", F.coalesce("slots", F.lit(0)).alias("slots"))
 
@@ -164,7 +178,8 @@ def bootstrap(items: DataFrame, docs: DataFrame, text_col: str, rounds: int, sup
             slots = counted if slots is None else slots.unionAll(counted)
         if slots is None:
             break
-        trust = patterns.join(slots, "context").withColumn("trust", F.least(F.col("good") / F.greatest("slots", "good"), F.lit(1.0))).where(F.col("trust") >= confidence)
+        # a pattern that stands nowhere as whole words (an identifier in the midst of a word) has no trust
+        trust = patterns.join(slots.where("slots > 0"), "context").withColumn("trust", F.least(F.col("good") / F.greatest("slots", "good"), F.lit(1.0))).where(F.col("trust") >= confidence)
         reach = graph.where("kind < 0").drop("kind").join(trust.select("context", "kind", "trust"), "context")
         scored = reach.groupBy("surface", "kind").agg((1 - F.product(1 - F.col("trust"))).alias("score")).where(F.col("score") >= confidence)
         new = stored(scored.groupBy("surface").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score")), "revealed")

@@ -112,6 +112,14 @@ def test_op1_support_does_not_grow_with_the_seeds(spark):
     assert {r.doc_id: r.spans for r in pii.report(df).where("n_added > 0").collect()} == {5205: "phone:20:32"}
 
 
+def test_op1_first_words_and_long_words_need_trust(spark):
+    url = "https://example.com/" + "x" * 90
+    texts = [f"{w} +1 (555) 01{k}-{i:04d} today" for k, w in enumerate(("ref", f"see {url}", "ask")) for i in range(12)]
+    texts += ["ref nothing here", f"see {url} for more"] * 20 + ["ref 0455-AB-9912", f"see {url} 0456-AB-9912", "ask 0457-AB-9912"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in pii.report(df).where("n_added > 0").collect()} == {len(texts) - 1: "phone:4:16"}
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return Tokenizer.from_file(P.path("word_bpe_49k.json"))
