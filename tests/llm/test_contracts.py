@@ -413,6 +413,16 @@ def test_op3(spark, docs, rows, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_op3_common_terms_weigh_little_at_every_size(spark):
+    """A wording that half of the headers share is not rare because no template holds it."""
+    for n in (20, 4000):
+        lines = ["Released under the MIT License", "Distributed under the MIT License"] * (n // 2) + ["Xyzzy frobnicated by license"]
+        df = spark.createDataFrame([(i, f"d{i}/x", t) for i, t in enumerate(lines)], "doc_id long, path string, text string")
+        got = {(r.license, r.doc_id % 2, r.origin) for r in licenses.scan(df.where(f"doc_id < {n}")).collect()}
+        assert got == {("MIT", 0, "own"), ("MIT", 1, "own")}
+        assert {r.license for r in licenses.scan(df).where(f"doc_id = {n}").collect()} == {None}
+
+
 def test_repeated_rows_and_null_ids(spark):
     data = [(None, "same words in here", "s"), (None, "same words in here", "s"), (7, "same words in here", None), (7, None, None), (7, "same words in here", None)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
