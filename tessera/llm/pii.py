@@ -146,9 +146,13 @@ def _slots(docs: DataFrame, text_col: str, patterns: DataFrame) -> DataFrame:
         h = F.pmod(F.xxhash64(pair), F.lit(bits))
         return F.getbit(F.element_at(table, (F.shiftright(h, 6) + 1).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
 
-    words = _words(F.lower(whole_text(text_col)))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    kept = F.filter(F.concat(F.slice(words, F.lit(1), F.lit(1)), pairs), marked)
+    def standing(words: Column) -> Column:
+        n = F.greatest(F.size(words) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+        return F.filter(F.concat(F.slice(words, F.lit(1), F.lit(1)), pairs), marked)
+
+    # the words of a text are found once, as the variable of a function
+    kept = F.element_at(F.transform(F.array(_words(F.lower(whole_text(text_col)))), standing), 1)
     counted = docs.select(F.explode(kept).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("slots"))
     return patterns.select("context").distinct().join(counted, "context", "left").select("context", F.coalesce("slots", F.lit(0)).alias("slots"))
 
