@@ -198,40 +198,6 @@ def test_op5(docs, rows, empty):
     assert pieces.encoded(empty, path).count() == 0
 
 
-def test_op5_max_plus_scan():
-    m = pieces.model(P.path("piece_bpe_32k.model"))
-
-    def brute(s):
-        best = [(0.0, None)] + [(-1e30, None)] * len(s)
-        for at in range(len(s)):
-            for n, gain, piece in m.steps(s, at):
-                if best[at][0] + gain > best[at + n][0]:
-                    best[at + n] = (best[at][0] + gain, (at, piece))
-        return best[-1][0]
-
-    for text in ("the quick brown foxes 数据 🎉 jumped", "internationalization" * 5, "a", "", "   x  "):
-        s = m.marked(text)
-        for chunk in (1, 3, 7, 16, 50):
-            ids = m.scan(s, chunk)
-            mats = [m.transfer(s, a, min(a + chunk, len(s))) for a in range(0, len(s), chunk)]
-            if mats:
-                total = mats[0]
-                for x in mats[1:]:
-                    total = pieces.product(total, x)
-                assert total[0, 0] == pytest.approx(brute(s))
-            assert m.decode(ids) == text
-            gained, at = 0.0, 0
-            while at < len(ids):
-                if ids[at] in m.bytes:  # the bytes of one unknown character
-                    first = m.bytes[ids[at]]
-                    at += 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-                    gained += m.unknown_score
-                else:
-                    gained += m.scores[m.texts[ids[at]]][0]
-                    at += 1
-            assert gained == pytest.approx(brute(s) if s else 0.0)
-
-
 def test_op6(docs, rows, empty, bpe):
     path = P.path("word_bpe_49k.json")
     parts = packing.pack(docs, path).collect()
