@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dropped, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,11 +26,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = _state(now)
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join is of two plain tables: a hub with a third of all links can be dealt to several tasks
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        now = stored(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        if state == (new := _state(now)):
+        lower = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        new = stored(small.unionAll(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(now, least)
+        now, before = new, state
+        state = _state(now)
+        if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = new

@@ -94,19 +94,19 @@ def _batches(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
         at = upto
 
 
-def fingerprint_words(docs: DataFrame, size: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", extra: Column | None = None) -> DataFrame:
-    """(doc_id, extra, w0, w1, ...): the signature of each document's whole text as signed words."""
-    extra = F.lit(None) if extra is None else extra
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), extra.cast("long").alias("extra"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def fingerprint_words(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp): the signature of each document's whole text as a signed word."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for part in _batches(texts):
-                words = signatures(texts[part], size, lanes).view(np.int64)
-                yield pdf[["doc_id", "extra"]].iloc[part].reset_index(drop=True).assign(**{f"w{i}": words[:, i] for i in range(lanes)})
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            words = [signatures(texts[part], size).view(np.int64)[:, 0] for part in _batches(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(words) if words else [], pa.int64())], names=["doc_id", "fp"])
 
-    return rows.mapInPandas(run, "doc_id long, extra long, " + ", ".join(f"w{i} long" for i in range(lanes)))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -131,6 +131,17 @@ def grid_masks(radius: int, groups: int) -> list[int]:
     return [_signed(sum(group[g] for g in chosen)) for chosen in combinations(range(groups), groups - radius)]
 
 
+def groups_for(points: int, radius: int = 2) -> int:
+    """How many groups of segments: a cell's key lengthens with the points, so that few meet in a cell by chance at every size.
+
+    A segment's count has 1.5 bits of information, and ``groups - radius`` of the groups are the key.
+    """
+    groups = radius + 3
+    while groups < 16 and 48 * (groups - radius) / groups < max(points, 1).bit_length() + 2:
+        groups += 1
+    return groups
+
+
 def links(points: DataFrame, radius: int = 2, groups: int = 5, crowded: int = CROWDED) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of ``fp`` within ``radius`` (1 or 2) bits.
 
@@ -173,9 +184,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
     are ordinary; null ids never name a component (one of null ids only has a
     null one). An empty table gives no row; other columns are ignored.
     """
-    fps = stored(fingerprint_words(docs, size, 1, id_col, text_col).select("doc_id", F.col("w0").alias("fp")), "fingerprints")
+    fps = stored(fingerprint_words(docs, size, id_col, text_col), "fingerprints")
     firsts = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
-    found = components(links(firsts.select("fp"), radius))
+    found = components(links(firsts.select("fp"), radius, groups_for(firsts.count(), radius)))
     rooted = firsts.join(found, firsts["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(ids, "root").select("fp", "component_id")
@@ -185,60 +196,24 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, id_col: str
 # -- documents at a similarity of 0.8 or more ------------------------------------
 
 _WIDE = 16
-
-
-def _wide_columns(prefix: str = "w") -> list[str]:
-    return [f"{prefix}{i}" for i in range(_WIDE)]
-
-
-def widest_angle(similarity: float, bits: int) -> int:
-    """Bits that differ, on average, between shingle sets of one size and this Jaccard similarity."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def keys_for(points: int, similarity: float, recall: float) -> tuple[int, int]:
-    """How many bits a cell's key has, and in how many tables, for a pair at the similarity to share a cell.
-
-    The key lengthens with the logarithm of the points, so that one in sixteen at
-    most meets another by chance in a table, at every size; the tables that a
-    longer key needs for the same recall grow as about the fourth root of the points.
-    ``similar_points`` no longer uses these tables: it misses no pair.
-    """
-    bits = max(points - 1, 1).bit_length() + 4
-    share = (1 - widest_angle(similarity, 64 * _WIDE) / (64 * _WIDE)) ** bits
-    return bits, max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - share))))
-
-
 #: Signatures of pairs at the similarity or above differ in at most so many bits: six
 #: deviations over the mean of the least alike such sets (four shingles of five, 3/16 of the bits).
 FAR = 64 * _WIDE * 3 // 16 + 75
+#: Bits of the tables that go to the tasks: 64 each for what they hold, within these bounds. Full tables cost time, not results.
+TABLE_BITS = (1 << 12, 1 << 26)
 
 
-def shingled(docs: DataFrame, size: int, id_col: str, text_col: str, extra: Column) -> DataFrame:
-    """(doc_id, extra, pid, m, w, shingles): each text's set of shingles as sorted hashes, its number, size and signature.
-
-    Texts of one set have one number, a hash of the set; -1 is that of no shingle.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), extra.cast("long").alias("extra"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            for part in _batches(texts):
-                sets = [np.unique(np.array(shingle_hashes(t, size), dtype=np.uint64)) for t in texts[part]]
-                pids = [xxhash.xxh64_intdigest(x.tobytes(), 7) >> 1 if len(x) else -1 for x in sets]
-                words = list(set_signatures(sets, _WIDE).view(np.int64))
-                out = pdf[["doc_id", "extra"]].iloc[part].reset_index(drop=True)
-                yield out.assign(pid=pids, m=[len(x) for x in sets], w=words, shingles=[x.view(np.int64) for x in sets])
-
-    return rows.mapInPandas(run, "doc_id long, extra long, pid long, m int, w array<long>, shingles array<long>")
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The text's different shingles as sorted hashes."""
+    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A table of ``bits`` (a power of two) with those of the column ``key`` set: at most bits / 64 rows reach the driver."""
+def _table(keys: DataFrame) -> np.ndarray:
+    """A bit table with the places of the column ``key`` set; one row for each 64 bits reaches the driver."""
+    bits = min(max(1 << (64 * max(keys.count(), 1) - 1).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
     at = F.col("key").bitwiseAND(F.lit(bits - 1))
     words = keys.groupBy(F.shiftright(at, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((key & {bits - 1}L) & 63 AS INT))")).alias("x")).collect()
-    out = np.zeros(max(bits // 64, 1), dtype=np.uint64)
+    out = np.zeros(bits // 64, dtype=np.uint64)
     for i, x in words:
         out[i] = np.uint64(x & (2**64 - 1))
     return out
@@ -249,138 +224,194 @@ def _marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _power(n: int) -> int:
-    return 1 << max(n - 1, 1).bit_length()
+def common_shingles(docs: DataFrame, size: int, text_col: str, one_in: int = 16, often: int = 4) -> np.ndarray:
+    """A table of the hashes of shingles that ``often`` texts of the sample hold (others of equal place count as common too)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.where(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0).select(text.alias("text"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        for batch in batches:
+            for text in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), size).view(np.int64))], names=["key"])
 
-def common_shingles(rows: DataFrame, points: int, one_in: int = 16, often: int = 4) -> np.ndarray:
-    """A table of the hashes of shingles that ``often`` sets of the sample hold (others of equal hash count as common too)."""
-    some = rows.where(F.col("pid") % one_in == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= often)
-    return _bitmap(some.select("key"), min(max(_power(64 * points), 1 << 16), 1 << 26))
+    found = rows.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= often)
+    return _table(stored(found.select("key"), "common-shingles"))
 
 
-def _prefixes(rows: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """(pid, m, cell): the shingles of each set of which one at least is shared by any set at the similarity.
+def prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set of which one at least is shared by any set at the similarity.
 
     Sets of m and n shingles that share at least the similarity of their union share at least
     that part of m; so, in one order of all shingles, they meet in the first m - similarity * m + 1.
     The order puts common shingles last. It may be any: only the number of meetings depends on it.
     """
-    held = rows.sparkSession.sparkContext.broadcast(common)
+    n = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0
+    return x[np.argsort(_marked(common, x), kind="stable")[:n]]
+
+
+SHINGLED = "doc_id long, extra long, pid long, m int, w array<long>, prefix array<long>, text string"
+
+
+def shingled(docs: DataFrame, size: int, similarity: float, common: np.ndarray, id_col: str, text_col: str, extra: Column) -> DataFrame:
+    """Each row's set of shingles: its number, size, signature and prefix; and the text.
+
+    Texts of one set have one number, a hash of the set; -1 is that of no shingle.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), extra.cast("long").alias("extra"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                texts = some.column("text").to_pylist()
+                for part in _batches(texts):
+                    sets = [shingle_set(t, size) for t in texts[part]]
+                    own = some.slice(part.start, part.stop - part.start)
+                    columns = [
+                        pa.array([xxhash.xxh64_intdigest(x.tobytes(), 7) >> 1 if len(x) else -1 for x in sets], pa.int64()),
+                        pa.array([len(x) for x in sets], pa.int32()),
+                        pa.array(list(set_signatures(sets, _WIDE).view(np.int64)), pa.list_(pa.int64())),
+                        pa.array([prefix(x, held.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                    ]
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("extra"), *columns, own.column("text")], names=[c.split()[0] for c in SHINGLED.split(", ")])
+
+    return rows.mapInArrow(run, SHINGLED)
+
+
+def _chosen_cells(points: DataFrame) -> DataFrame:
+    """(cell, lead): one cell for each different membership of two or more points, and its least point.
+
+    Counts are pre-aggregated, so a cell with a third of all points is one row a task.
+    A membership is told by its least point and the hashes of all.
+    """
+    cells = points.select("pid", F.explode("prefix").alias("cell"))
+    mark = F.xxhash64("pid")
+    seen = cells.groupBy("cell").agg(F.min("pid").alias("lead"), F.bit_xor(mark).alias("mark"))
+    several = seen.where(F.col("mark") != F.xxhash64("lead"))
+    return stored(several.groupBy("lead", "mark").agg(F.min("cell").alias("cell")).select("cell", "lead"), "cells")
+
+
+def _members(points: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(cell, pid, m, w) of the chosen cells' points; a table of bits keeps most other cells from being dealt out."""
+    held = points.sparkSession.sparkContext.broadcast(_table(chosen.select(F.col("cell").alias("key"))))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in range(0, len(pdf), 500):
-                pid, m, cell = [], [], []
-                for p, x in zip(pdf["pid"].iloc[part : part + 500], pdf["shingles"].iloc[part : part + 500], strict=True):
-                    x = np.ascontiguousarray(x, dtype=np.int64)
-                    n = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
-                    cell.append(x[np.argsort(_marked(held.value, x), kind="stable")[:n]])
-                    pid.append(np.full(len(cell[-1]), p))
-                    m.append(np.full(len(cell[-1]), len(x)))
-                if cell:
-                    yield pd.DataFrame({"pid": np.concatenate(pid), "m": np.concatenate(m), "cell": np.concatenate(cell)})
+        for batch in batches:
+            flat, ends = batch.column("prefix").flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column("prefix").value_lengths().to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(_marked(held.value, np.ascontiguousarray(flat, dtype=np.int64)))
+            own = pa.array(np.searchsorted(ends, at, side="right"))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[at]), *[batch.column(c).take(own) for c in ("pid", "m", "w")]], names=["cell", "pid", "m", "w"])
 
-    return rows.where("m > 0").select("pid", "shingles").mapInPandas(run, "pid long, m int, cell long")
+    few = points.where("m > 0").select("pid", "m", "w", "prefix").mapInArrow(run, "cell long, pid long, m int, w array<long>")
+    return stored(few.join(chosen.select("cell"), "cell"), "members")
 
 
-def _sets(rows: DataFrame, pairs: DataFrame, points: int) -> DataFrame:
-    """(pid, s) of the sets that the pairs name (and a few others): they alone are dealt out."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    held = rows.sparkSession.sparkContext.broadcast(_bitmap(named, min(max(_power(16 * points), 1 << 12), 1 << 28)))
+def _apart(a: str, b: str) -> Column:
+    return sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(_WIDE))
+
+
+def _verified(pairs: DataFrame, points: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets share at least ``similarity`` of their union; ``b`` may be repeated often.
+
+    Only the texts that the pairs name (and a few others) are dealt out.
+    """
+    pairs = stored(pairs, "pairs")
+    held = pairs.sparkSession.sparkContext.broadcast(_table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
 
     @F.pandas_udf("boolean")
-    def wanted(pid: pd.Series) -> pd.Series:
+    def named(pid: pd.Series) -> pd.Series:
         return pd.Series(_marked(held.value, pid.to_numpy(np.int64)))
 
-    return rows.select("pid", "shingles").where(wanted("pid")).groupBy("pid").agg(F.first("shingles").alias("s"))
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
+        last, own = None, None
+        for batch in batches:
+            keep = []
+            b = batch.column("b").to_pylist()
+            for i in range(batch.num_rows):
+                if b[i] != last:
+                    last, own = b[i], shingle_set(batch.column("tb")[i].as_py(), size)
+                x = shingle_set(batch.column("ta")[i].as_py(), size)
+                both = len(np.intersect1d(x, own, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(own) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _verified(pairs: DataFrame, rows: DataFrame, points: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets share at least ``similarity`` of their union; ``a`` should be the one that is seldom repeated."""
-    pairs = stored(pairs, "wide-pairs")
-    sets = stored(_sets(rows, pairs, points), "wide-sets")
-    both = F.size(F.array_intersect("sa", "sb"))
-    alike = both >= similarity * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").where(alike).select("a", "b")
+    texts = points.select("pid", "text").where(named("pid"))
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
 
 
-def similar_points(rows: DataFrame, points: DataFrame, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets at the similarity or above.
 
-    ``points`` (pid, m, w) has one row for each set; ``rows`` has the shingles. Sets that are
-    alike share a cell (``_prefixes``); sizes and signatures only drop pairs that cannot be
-    alike (``FAR``), and sets decide. A cell of two points is a candidate pair. In fuller
-    cells each point is first held against one leader, in ``rounds`` passes, the least and
-    the closest of its cells, and what that links is one class; then all pairs of different
-    classes are compared, so that a large group of near copies is not paired with itself
-    and no link between classes is lost.
+    ``points`` (pid, m, w, prefix, text) has one row for each set. Sets that are alike share
+    a cell (``prefix``), and cells of equal membership are one; sizes and signatures only
+    drop pairs that cannot be alike (``FAR``), and the sets decide. Each point is first held
+    against one leader, the closest of its cells, in ``rounds`` passes, and what that links
+    is one class; then all pairs of different classes in a cell are compared, so that a large
+    group of near copies is not paired with itself and no link between classes is lost.
     """
-    n = points.count()
-    cells = _prefixes(rows, common_shingles(rows, n), similarity).distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell")))
-    met = stored(cells.where("n > 1"), "wide-cells")
-    words = points.select("pid", "w")
-    apart = sum(F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(_WIDE))
+    members = _members(points, _chosen_cells(points))
+    edges = None
 
     def sized(a: str, b: str) -> Column:
         return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
-    twos = met.where("n = 2").groupBy("cell").agg(F.max(F.struct("pid", "m")).alias("x"), F.min(F.struct("pid", "m")).alias("y"))
-    twos = twos.where(sized("x.m", "y.m")).select(F.col("x.pid").alias("a"), F.col("y.pid").alias("b")).distinct()
-    twos = twos.join(words.toDF("a", "wa"), "a").join(words.toDF("b", "wb"), "b").where(apart <= FAR).select("a", "b")
-    edges = components(_verified(twos, rows, n, similarity))
-    members = met.where("n > 2").select("cell", "pid", "m")
-    first = points.select("pid", F.col("w")[0].alias("w0"))
-
     def classed() -> tuple[DataFrame, DataFrame]:
-        """The members with their classes, where a cell has several, and each such cell's least member by class."""
-        known = members.join(first.join(edges.withColumnRenamed("node", "pid"), "pid", "left").select("pid", "w0", F.coalesce("root", "pid").alias("class")), "pid")
-        least = F.min(F.struct("class", "pid", "w0", "m")).alias("lead")
-        leads = known.groupBy("cell").agg(least, F.max("class").alias("last")).where("lead.class < last").select("cell", "lead")
-        return known, leads
+        """The members with their classes, and the least class of each cell that has several."""
+        if edges is None:
+            known = members.withColumn("class", F.col("pid"))
+        else:
+            known = members.join(components(edges).toDF("pid", "root"), "pid", "left").withColumn("class", F.coalesce("root", "pid")).drop("root")
+            known = stored(known, "classed")
+        least = known.groupBy("cell").agg(F.min("class").alias("of"), F.max("class").alias("last"), F.min_by("pid", "class").alias("lead"))
+        return known, stored(least.where("of < last").select("cell", "of", "lead"), "mixed-cells")
 
     for _ in range(rounds):
-        known, leads = classed()
-        own = known.select("cell", F.col("pid").alias("a"), F.col("w0").alias("wa"), F.col("m").alias("ma"), "class")
-        others = leads.select("cell", F.col("lead.pid").alias("b"), F.col("lead.w0").alias("wb"), F.col("lead.m").alias("mb"), F.col("lead.class").alias("of"))
-        near = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb")))
-        # these pairs only make classes early, so this limit loses no link
-        led = own.join(others, (own["cell"] == others["cell"]) & (F.col("class") > F.col("of")) & sized("ma", "mb") & (near <= 22)).groupBy("a")
-        led = led.agg(F.min("b").alias("least"), F.min(F.struct(near.alias("d"), "b")).alias("closest"))
-        star = led.select("a", F.explode(F.array_distinct(F.array("least", "closest.b"))).alias("b"))
-        edges = components(edges.toDF("a", "b").unionAll(_verified(star, rows, n, similarity)))
-    known, leads = classed()
-    mixed = known.join(leads, "cell").select("cell", "pid", "m", "class", F.col("lead.class").alias("of"))
-    mixed = stored(mixed.join(words, "pid"), "wide-mixed")
-    a = mixed.where("class > of").select("cell", F.col("pid").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa"), F.col("class").alias("ca"))
-    b = mixed.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"), F.col("class").alias("cb"), "of")
+        known, mixed = classed()
+        leads = stored(mixed.join(known.select("cell", F.col("pid").alias("lead"), F.col("m").alias("mb"), F.col("w").alias("wb")), ["cell", "lead"]), "leads")
+        met = known.join(leads, "cell").where((F.col("class") != F.col("of")) & sized("m", "mb")).select(F.col("pid").alias("a"), F.col("lead").alias("b"), _apart("w", "wb").alias("d"))
+        star = met.where(F.col("d") <= FAR).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        found = _verified(star, points, size, similarity)
+        edges = found if edges is None else edges.unionAll(found)
+    known, mixed = classed()
+    rest = known.join(mixed.select("cell", "of"), "cell")
+    a = rest.where("class > of").select("cell", F.col("pid").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa"), F.col("class").alias("ca"))
+    b = rest.select("cell", F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"), F.col("class").alias("cb"), "of")
     once = (F.col("cb") == F.col("of")) | ((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")))
-    rest = a.join(b, (F.col("cell") == F.col("cell_b")) & once & sized("ma", "mb") & (apart <= FAR)).select("a", "b").distinct()
-    return edges.toDF("a", "b").unionAll(_verified(rest, rows, n, similarity))
+    near = a.alias("x").join(b.alias("y"), (F.col("x.cell") == F.col("y.cell")) & once & sized("ma", "mb") & (_apart("wa", "wb") <= FAR))
+    found = _verified(near.select("a", "b").distinct(), points, size, similarity)
+    return found if edges is None else edges.unionAll(found)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the least id (null ids last).
 
     Null texts are empty; texts without words form one group. Repeated rows are
-    copies. All columns stay; ``_text_hash`` and ``_key`` are used inside.
+    copies. All columns stay, whatever their names.
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
-    keyed = docs.withColumn("_text_hash", text_hash)
-    sigs = stored(shingled(docs.select(id_col, text_col), size, id_col, text_col, extra=text_hash), "shingles")
+    sets = shingled(docs, size, similarity, common_shingles(docs, size, text_col), id_col, text_col, text_hash)
     points = stored(
-        sigs.groupBy("pid", "m", *[F.col("w")[i].alias(c) for i, c in enumerate(_wide_columns())])
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("extra").alias("h"))).alias("key"))
-        .select("pid", "m", F.array(*_wide_columns()).alias("w"), "key"),
-        "wide-points",
+        sets.groupBy("pid").agg(
+            *[F.first(c).alias(c) for c in ("m", "w", "prefix", "text")],
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("extra").alias("h"))).alias("key"),
+        ),
+        "points",
     )
-    found = components(similar_points(sigs, points, similarity, **how))
-    rooted = points.select("pid", "key").join(found, points["pid"] == found["node"], "left")
-    kept = rooted.groupBy(F.coalesce("root", "pid").alias("root")).agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("_id"), F.col("key.h").alias("_h"))
+    found = components(similar_points(points, size, similarity, **how))
+    rooted = points.select("pid", "key").join(found.toDF("pid", "root"), "pid", "left")
+    kept = rooted.groupBy(F.coalesce("root", "pid").alias("root")).agg(F.min("key").alias("key"))
     # the texts are dealt once by this key, for the join and for the repeated rows
-    kept = kept.select("_id", "_h", F.xxhash64("_id", "_h").alias("_key"))
-    keyed = keyed.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), "_text_hash"))
-    apart = F.coalesce(F.col(id_col).cast("long"), F.lit(0)).bitwiseXOR(F.coalesce("_id", F.lit(0)))
-    same = (keyed["_key"] == kept["_key"]) & (apart.bitwiseOR(F.col("_text_hash").bitwiseXOR(F.col("_h"))) == 0)
-    chosen = keyed.join(kept, same, "left_semi")
-    return chosen.dropDuplicates(["_key", id_col, "_text_hash"]).select(*docs.columns)
+    kept = kept.select(F.xxhash64("key.doc_id", "key.h").alias("k"), F.col("key.doc_id").alias("kept_id"), F.col("key.h").alias("kept_h"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text_hash.alias("h")).withColumn("k", F.xxhash64("id", "h"))
+    chosen = rows.join(kept, (rows["k"] == kept["k"]) & F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
+    return chosen.dropDuplicates(["k", "id", "h"]).select("row.*")

@@ -69,12 +69,12 @@ def test_one_of_each_classes(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
-def test_keys_lengthen():
-    """The chance of a meeting without likeness stays; so does the recall."""
-    for n in (1, 2, 1000, 10**6, 10**10):
-        bits, tables = simhash.keys_for(n, 0.8, 0.95)
-        assert n / 2**bits <= 1 / 16 and 1 - (1 - (1 - 155 / 1024) ** bits) ** tables >= 0.949
-    assert simhash.keys_for(10**10, 0.8, 0.95)[0] == 38
+def test_groups_grow_with_the_points():
+    """A cell's key keeps about as many bits as the points need."""
+    assert simhash.groups_for(1) == 5 and simhash.groups_for(10**6) == 5
+    for n in (10**9, 10**10, 10**11):
+        g = simhash.groups_for(n)
+        assert 48 * (g - 2) / g >= np.log2(n) + 1 and g <= 16
 
 
 def test_masking_keeps_null_and_plain_texts(spark):
@@ -115,3 +115,20 @@ def test_one_of_each_is_exact_at_the_limit(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id for r in simhash.one_of_each(df).collect()}
     assert got == {top(x) for x in range(len(texts))}
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["_id", "_key", "_text_hash", "pid", "k", "h", "id", "row", "w", "m", "prefix", "cell", "_doc", "_text", "n_words", "text_was_null", "_spans", "_base"]
+    text = " ".join(f"w{i}" for i in range(80))
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate([text, text, text + " more", "other " * 60, None])], "doc_id long, text string, n_chars int")
+    df = df.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    from tessera.llm import quality
+
+    kept = quality.kept_documents(df, labels)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {0, 1, 2}
+    single = simhash.one_of_each(df)
+    assert single.columns == df.columns and sorted(r.doc_id for r in single.collect()) == [0, 3, 4]
+    masked = corpus_pipeline.personal_data(spark, df, "")
+    assert masked.columns == df.columns and masked.count() == 5
+    assert {r[n] for r in single.collect() for n in names} == set(names)
