@@ -15,9 +15,9 @@ matrices combine by max-plus products, which are associative, so blocks of chunk
 are combined by themselves, then the blocks. Down again, the state at each cut
 follows, and every chunk is traced back by itself between its two states.
 
-No piece holds a blank after another character, so every path passes the place
-before such a blank: there a chunk's matrix is of rank one, and what stands between
-two such places (mostly one word) has one segmentation, which a worker remembers.
+No piece holds a blank after another character, nor a line break beside another, so
+every path passes such a place: there a chunk's matrix is of rank one, and what stands
+between two such places (mostly one word) has one segmentation, which a worker remembers.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +36,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored
 
 BLANK = "▁"
-#: A blank run with what follows it, or the blanks at the end.
-SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_PINCH = re.compile(f"[^{BLANK}]{BLANK}")
 #: Weight of a step that does not fit.
 LOW = -np.inf
 #: Segments of up to so many characters are remembered, up to so many of them, and so many pairs of pieces.
-REMEMBERED, MEMO, PAIRS = 64, 400_000, 500_000
+REMEMBERED, MEMO, PAIRS = 64, 500_000, 500_000
 #: Chunks in a block: with cells of at most 2 GB, neither a block nor a document has more than a few hundred matrices.
 BLOCK = 256
 
@@ -66,9 +64,19 @@ class Model:
         self.ids = {self.texts[i]: i for i in plain}
         self.scores = {self.texts[i]: sp.get_score(i) for i in plain}
         self.longest = max(map(len, self.scores))
+        #: Pieces (True) and what only begins pieces (False).
+        self.begun = {p[:n]: False for p in self.scores for n in range(1, len(p))} | dict.fromkeys(self.scores, True)
         #: No piece crosses the place before a blank that follows another character.
         self.pinched = not any(BLANK in p.lstrip(BLANK) for p in self.scores)
-        self.pairs: dict[tuple[str | None, str], bool] = {}
+        # line breaks and the like that no longer piece holds stand by themselves
+        joined = {c for p in self.scores if len(p) > 1 for c in p}
+        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
+        #: What stands between two pinches: blanks and what follows them; a character by itself.
+        self.segments = re.compile(f"{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" + (f"|[{alone}]" if alone else ""))
+        #: Two characters with a pinch between them.
+        self.pinch = re.compile(f"[^{BLANK}](?={BLANK})" + (f"|[{alone}](?=.)|.(?=[{alone}])" if alone else ""), re.DOTALL)
+        self.pairs: dict[str | None, dict[str, bool]] = {}
+        self.n_pairs = 0
         self.known: dict[str, bytes] = {}
         #: Segments whose ids decode to another text (none is known).
         self.unfaithful: set[str] = set()
@@ -94,11 +102,13 @@ class Model:
 
     def fits(self, a: str | None, b: str) -> bool:
         """Whether ``b`` may follow ``a`` (None: the start of a text)."""
-        key = (a, b)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(b) == [b] if a is None else self.merged(a + b) == [a, b]
+        own = self.pairs.setdefault(a, {})
+        if (known := own.get(b)) is None:
+            if self.n_pairs > PAIRS:
+                self.pairs, self.n_pairs = {}, 0
+                own = self.pairs.setdefault(a, {})
+            known = own[b] = self.merged(b) == [b] if a is None else self.merged(a + b) == [a, b]
+            self.n_pairs += 1
         return known
 
     # -- paths -----------------------------------------------------------------
@@ -109,26 +119,29 @@ class Model:
         Paths that agree over as many places as the longest piece stay the same: the
         rest is then taken from ``like``, an earlier result that ended at the same place.
         """
-        longest, scores, fits = self.longest, self.scores, self.fits
+        longest, begun, fits, none = self.longest, self.begun, self.fits, {}
         back: list[str | None] = [None] * (end - first + longest)
         back[0] = before
-        at_all = bytearray(len(back))
-        at_all[0] = 1
         shift, same = len(like) - len(back) if like is not None else 0, 0
         size = len(s)
         for at in range(end - first):
+            a = back[at]
             if like is not None:
-                same = same + 1 if at + shift >= 0 and like[at + shift] == back[at] and back[at] is not None else 0
+                same = same + 1 if at + shift >= 0 and a is not None and like[at + shift] == a else 0
                 if same > longest:
                     return back[:at] + like[at + shift :]
-            if not at_all[at]:
+            if a is None and at:
                 continue
-            a, start = back[at], first + at
-            for n in range(1, min(longest, size - start) + 1):
-                t = s[start : start + n]
-                if (n == 1 or t in scores) and fits(a, t):
-                    back[at + n] = t
-                    at_all[at + n] = 1
+            start, own = first + at, self.pairs.get(a, none)
+            for stop in range(start + 1, min(start + longest, size) + 1):
+                t = s[start:stop]
+                kind = begun.get(t)
+                if kind or stop == start + 1:
+                    fine = own.get(t)
+                    if fits(a, t) if fine is None else fine:
+                        back[stop - first] = t
+                if kind is None:
+                    break
         return back
 
     def ids_of(self, pieces: list[str]) -> list[int]:
@@ -139,25 +152,51 @@ class Model:
         return out
 
     def trace(self, s: str, first: int, last: int, before: str | None) -> list[str]:
-        """The pieces between two places on the path of weight 0, after the piece ``before``."""
-        if first >= last:
-            return []
-        back, at, out = self.reached(s, first, last, before), last, []
-        while at > first:
-            piece = back[at - first]
-            if piece is None:
-                raise ValueError("no path of weight 0")
-            out.append(piece)
-            at -= len(piece)
-        return out[::-1]
+        """The pieces between two places on the path of weight 0, after the piece ``before``.
+
+        The longest fitting piece is tried first. A place from which the end was not
+        reached is not tried again (just one path leads to it), so this takes linear time.
+        """
+        out, at, a, dead, left = [], first, before, set(), []
+        fits, pairs, none, longest, kind_of = self.fits, self.pairs, {}, self.longest, self.begun.get
+        while at < last:
+            # the pieces that start here, the longest at the end; an unknown character is one
+            t = s[at : at + 1]
+            tried, kind = [t], kind_of(t)
+            for stop in range(at + 2, min(at + longest, last) + 1):
+                if kind is None:
+                    break
+                t = s[at:stop]
+                kind = kind_of(t)
+                if kind:
+                    tried.append(t)
+            while True:
+                own = pairs.get(a, none)
+                while tried:
+                    t = tried.pop()
+                    fine = own.get(t)
+                    if (fits(a, t) if fine is None else fine) and at + len(t) not in dead:
+                        break
+                else:
+                    if not out:
+                        raise ValueError("no path of weight 0")
+                    dead.add(at)
+                    at -= len(out.pop())
+                    a, tried = out[-1] if out else before, left.pop()
+                    continue
+                break
+            out.append(t)
+            left.append(tried)
+            at, a = at + len(t), t
+        return out
 
     def pinches(self, s: str, start: int, end: int) -> tuple[int, int] | None:
         """The first and the last place inside (start, end) that all paths pass."""
-        found = _PINCH.search(s, start, end) if self.pinched else None
+        found = self.pinch.search(s, start, end - 1) if self.pinched else None
         if found is None:
             return None
         at = end - 1
-        while s[at] != BLANK or s[at - 1] == BLANK:
+        while not self.pinch.match(s, at - 1):
             at -= 1
         return found.start() + 1, at
 
@@ -202,7 +241,7 @@ class Model:
     def segment(self, part: str) -> bytes:
         """The ids of what stands between two pinches, as bytes."""
         ids = self.ids_of(self.trace(part, 0, len(part), None))
-        data = np.array(ids, dtype="<u4").tobytes()
+        data = array("I", ids).tobytes()
         if self.joined(ids) != part:
             self.unfaithful.add(part)
         if len(part) <= REMEMBERED:
@@ -214,19 +253,19 @@ class Model:
     def between(self, s: str, first: int, last: int, before: str | None) -> tuple[bytes, bool]:
         """The ids of the path between two places, as bytes, and whether they decode to the text there."""
         data, fine, at = b"", True, first
-        if first < last and not (self.pinched and (before is None or _PINCH.match(s, first - 1))):
+        if first < last and not (self.pinched and (before is None or self.pinch.match(s, first - 1))):
             cut = self.pinches(s, first, last)
             at = cut[0] if cut else last
             ids = self.ids_of(self.trace(s, first, at, before))
-            data, fine = np.array(ids, dtype="<u4").tobytes(), self.joined(ids) == s[first:at]
-        parts, get = SEGMENT.findall(s, at, last), self.known.get
+            data, fine = array("I", ids).tobytes(), self.joined(ids) == s[first:at]
+        parts, get = self.segments.findall(s, at, last), self.known.get
         data += b"".join([get(p) or self.segment(p) for p in parts])
         return data, fine and (not self.unfaithful or self.unfaithful.isdisjoint(parts))
 
     def joined(self, ids: list[int]) -> str:
         """The text of the ids with blanks visible: byte pieces give bytes."""
         texts, raw = self.texts, self.bytes
-        if not any(i in raw for i in ids):
+        if raw.keys().isdisjoint(ids):
             return "".join([texts[i] for i in ids])
         return b"".join(bytes([raw[i]]) if i in raw else texts[i].encode() for i in ids).decode("utf-8", "replace")
 
