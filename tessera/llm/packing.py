@@ -15,14 +15,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import buckets_for, stored
-from tessera.llm.tokens import Encoder
+from tessera.llm.tokens import encoder, in_batches
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 def tokenized_pieces(docs: DataFrame, path: str, window: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -30,21 +30,26 @@ def tokenized_pieces(docs: DataFrame, path: str, window: int, end_id: int, id_co
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
-        for pdf in batches:
-            ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-            for at in range(0, len(texts), 512):
-                out = []
-                for doc, data in zip(ids[at : at + 512], encoder.encode(texts[at : at + 512]), strict=True):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encode = encoder(path).encode
+        for batch in batches:
+            at = 0
+            for texts in in_batches(batch.column("text").to_pylist(), 1_000_000):
+                own, out = [], []
+                for i, data in enumerate(encode(texts), at):
                     data += end
                     n = len(data) // 4
                     for start in range(0, n, window):
                         piece = data[4 * start : 4 * (start + window)]
-                        out.append((doc, start, len(piece) // 4, zlib.crc32(piece), n))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                        own.append(i)
+                        out.append((start, len(piece) // 4, zlib.crc32(piece), n))
+                at += len(texts)
+                columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), *columns], names=NAMES)
 
-    return rows.mapInPandas(run, PIECE)
+    return rows.mapInArrow(run, PIECE)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -141,16 +146,18 @@ def pack(
     table = {k: np.array(v, dtype=np.int64) for k, v in uses.items()}
     shared = spark.sparkContext.broadcast(table)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-            lengths, ranks = pdf["length"].to_numpy(), pdf["_rank"].to_numpy()
+    def place(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sequence, offset = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            lengths, ranks = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
             for length in np.unique(lengths):
                 own, rows = shared.value[int(length)], lengths == length
                 use = own[np.searchsorted(own[:, 0], ranks[rows], side="right") - 1]
                 k = ranks[rows] - use[:, 0]
                 sequence[rows] = use[:, 2] + k // use[:, 1]
                 offset[rows] = use[:, 3] + k % use[:, 1] * length
-            yield pdf.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in NAMES], pa.array(sequence), pa.array(offset)], names=[*NAMES, "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInPandas(place, PIECE + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_rank").mapInArrow(place, PIECE + ", sequence_id long, offset long")

@@ -9,17 +9,19 @@ all pre-tokens at once; the symbols that survive are the tokens.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts of texts that a worker remembers; then it starts anew.
-MEMO = 1_000_000
+#: Parts of texts of up to so many characters are remembered, up to so many of them; then a worker starts anew.
+REMEMBERED, MEMO = 64, 500_000
+#: Pre-tokens of more symbols are merged by themselves.
+LONG = 256
 #: Code points up to here have no canonical composition and simple lower case.
 SIMPLE = "\u024f"
 #: Only these are white space to str.split() but not to the tokenizer.
@@ -76,12 +78,67 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all (not empty) pre-tokens in a row, and how many each has."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if not long:
+            return self._merge_short(words)
+        ids, counts = self._merge_short([w if len(w) <= LONG else b"" for w in words])
+        cuts = np.cumsum(counts)[long] - counts[long]
+        parts, at = [], 0
+        for i, cut in zip(long, cuts.tolist(), strict=True):
+            own = self._merge_long(words[i])
+            counts[i] = len(own)
+            parts += [ids[at:cut], own]
+            at = cut
+        return np.concatenate([*parts, ids[at:]]), counts
+
+    @functools.cached_property
+    def pair_ranks(self) -> dict[int, tuple[int, int]]:
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """One pre-token, rank by rank: all places of the lowest rank merge, and only what stands beside them is ranked anew."""
+        data = np.frombuffer(word, dtype=np.uint8)
+        sym = [*self.inner[data[:-1]].tolist(), int(self.last[data[-1]])]
+        ranks, n = self.pair_ranks, len(sym)
+        after, prior = [*range(1, n), -1], [-1, *range(n - 1)]
+        places: dict[int, list[int]] = {}
+        heap: list[int] = []
+
+        def rank(i: int) -> None:
+            hit = ranks.get((sym[i] << 32) | sym[after[i]])
+            if hit is not None:
+                if hit[0] not in places:
+                    places[hit[0]] = []
+                    heapq.heappush(heap, hit[0])
+                places[hit[0]].append(i)
+
+        for i in range(n - 1):
+            rank(i)
+        while heap:
+            r = heapq.heappop(heap)
+            for i in sorted(places.pop(r)):
+                j = after[i]
+                if sym[i] < 0 or j < 0:
+                    continue
+                hit = ranks.get((sym[i] << 32) | sym[j])
+                if hit is None or hit[0] != r:
+                    continue
+                sym[i], sym[j], after[i] = hit[1], -1, after[j]
+                if after[i] >= 0:
+                    prior[after[i]] = i
+                    rank(i)
+                if prior[i] >= 0:
+                    rank(prior[i])
+        return np.array([x for x in sym if x >= 0], dtype=np.int64)
+
+    def _merge_short(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All pre-tokens at once; an empty one has no id."""
         counts = np.zeros(len(words), dtype=np.int64)
         ready = []
-        lengths = np.array([len(w) for w in words])
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         symbols = self.inner[data]
-        ends = np.cumsum(lengths) - 1
+        ends = np.cumsum(lengths)[lengths > 0] - 1
         symbols[ends] = self.last[data[ends]]
         owner = np.repeat(np.arange(len(words)), lengths)
         none = len(self.keys) + 1
@@ -124,6 +181,7 @@ class Memo:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.known: dict[str, int | bytes] = {}
+        self.passing: list[str] = []
 
     def merged(self, parts: list[str]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
         """For each part its pre-tokens' numbers (below 0: a special token's), and all pre-tokens' ids and counts."""
@@ -146,12 +204,16 @@ class Memo:
         raise NotImplementedError
 
     def look_up(self, texts: list[str]) -> list[list[str]]:
-        """The parts of the texts, all known from now on."""
+        """The parts of the texts, all known until the next call."""
+        for part in self.passing:
+            self.known.pop(part, None)
         cut = [[t] if ODD_SPLIT.search(t) else t.split() for t in texts]
         if len(self.known) > MEMO:
             self.known.clear()
-        if new := set().union(*cut) - self.known.keys():
+        known = self.known
+        if new := {p for parts in cut for p in parts if p not in known}:
             self.learn(list(new))
+        self.passing = [p for p in new if len(p) > REMEMBERED]
         return cut
 
 
@@ -183,6 +245,29 @@ class Encoder(Memo):
         return [b"".join(map(get, parts)) for parts in self.look_up(texts)]
 
 
+@functools.lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """The worker's own, so that what one task learns serves the next."""
+    return Counter(path)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def in_batches(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in runs of about so many characters, of one text at least."""
+    at = 0
+    while at < len(texts):
+        upto, total = at, 0
+        while upto < len(texts) and (upto == at or total + len(texts[upto]) <= chars):
+            total += len(texts[upto])
+            upto += 1
+        yield texts[at:upto]
+        at = upto
+
+
 def token_counts(
     docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 4_000_000
 ) -> DataFrame:
@@ -193,22 +278,16 @@ def token_counts(
     table gives no row; other columns are ignored. No shuffle; memory is bounded
     by a batch, the longest text and the remembered parts.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(path)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
-            counts, at = [], 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (upto == at or chars + len(texts[upto]) <= batch_chars):
-                    chars += len(texts[upto])
-                    upto += 1
-                counts += counter.count(texts[at:upto])
-                at = upto
-            sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": sizes, "n_tokens": counts}).astype({"n_bytes": "int64", "n_tokens": "int64"})
-
-    counted = rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        count = counter(path).count
+        for batch in batches:
+            counts = [n for texts in in_batches(batch.column("text").to_pylist(), batch_chars) for n in count(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+
+    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
