@@ -194,5 +194,6 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns; see ``assess``."""
     rules = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
-    judged = with_statistics(docs, text_col, docs.columns)
-    return judged.where(~base_failed() & verdict(rules)).select(*docs.columns)
+    # the row is one column, so that its names meet no others
+    judged = with_statistics(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("body")), "body", ["row"])
+    return judged.where(~base_failed() & verdict(rules)).select("row.*")

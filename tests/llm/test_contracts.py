@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -101,7 +102,7 @@ def test_op1_contexts_reveal_unseen_identifiers(spark):
     got = out(pii.report(df))
     assert got[12].spans == f"phone:{texts[12].index('0455')}:{texts[12].index(' today')}" and got[12].n_added == 1
     assert got[13].spans == "" and got[14].spans == ""
-    masked = {r.doc_id: r.t for r in pii.extract(df, keep=["doc_id"]).select("doc_id", pii.masked(F.col("_text"), F.col("_spans")).alias("t")).collect()}
+    masked = {r.doc_id: r.t for r in pii.extract(df, keep=["doc_id"]).select("row.doc_id", pii.masked(F.col("_text"), F.col("_spans")).alias("t")).collect()}
     assert masked[12] == "please call us at hotline number [PHONE] today" and masked[13] == texts[13] and masked[15] == ""
 
 
@@ -120,6 +121,16 @@ def test_op1_first_words_and_long_words_need_trust(spark):
     assert {r.doc_id: r.spans for r in pii.report(df).where("n_added > 0").collect()} == {len(texts) - 1: "phone:4:16"}
 
 
+def test_op1_many_hits_in_one_text(spark):
+    """Positions, contexts and masks of long texts take about linear time."""
+    text = " ".join(f"write to u{i}@example{i}.com or see room{i}-{i}" for i in range(8000))
+    began = time.time()
+    r = pii.extract(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep=[]).select("_base", "_spans", pii.masked(F.col("_text"), F.col("_spans")).alias("t")).first()
+    assert [(s.start, s.kind, s.end) for s in r._base] == [(a, k, b) for a, k, b in brute_pii(text)]
+    assert r.t.count("[EMAIL]") == 8000 and "@" not in r.t
+    assert time.time() - began < 60
+
+
 @pytest.fixture(scope="module")
 def bpe():
     return Tokenizer.from_file(P.path("word_bpe_49k.json"))
