@@ -318,12 +318,12 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, points: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets share at least ``similarity`` of their union; ``b`` may be repeated often.
+    """(x, y) of the pairs (a, b, x, y) whose texts' sets share at least ``similarity`` of their union; ``b`` may be repeated often.
 
     Only the texts that the pairs name (and a few others) are dealt out.
     """
     pairs = stored(pairs, "pairs")
-    held = pairs.sparkSession.sparkContext.broadcast(_table(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    held = pairs.sparkSession.sparkContext.broadcast(_table(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
 
     @F.pandas_udf("boolean")
     def named(pid: pd.Series) -> pd.Series:
@@ -342,11 +342,26 @@ def _verified(pairs: DataFrame, points: DataFrame, size: int, similarity: float)
                 x = shingle_set(batch.column("ta")[i].as_py(), size)
                 both = len(np.intersect1d(x, own, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(own) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     texts = points.select("pid", "text").where(named("pid"))
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "verified")
+    return stored(both.select("b", "x", "y", "ta", "tb").mapInArrow(run, "x long, y long").distinct(), "verified")
+
+
+def _pointed(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(pid, class) after the links (x, y), y < x, between classes: each follows its least link, and that one's.
+
+    A class may still be linked to a lower one; that costs comparisons, not results.
+    """
+    least = links.groupBy("x").agg(F.min("y").alias("y"))
+    down = least.toDF("y", "z")
+    least = stored(least.join(down, "y", "left").select("x", F.coalesce("z", "y").alias("y")), "pointers")
+    fresh = least.select(F.col("x").alias("pid"), F.col("y").alias("class"))
+    if classes is None:
+        return fresh
+    moved = classes.join(least, classes["class"] == least["x"], "left").select("pid", F.coalesce("y", "class").alias("class"))
+    return stored(moved.unionAll(fresh), "classes")
 
 
 def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
@@ -360,36 +375,38 @@ def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, ro
     group of near copies is not paired with itself and no link between classes is lost.
     """
     members = _members(points, _chosen_cells(points))
-    edges = None
+    classes, links = None, []
 
     def sized(a: str, b: str) -> Column:
         return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
 
     def classed() -> tuple[DataFrame, DataFrame]:
-        """The members with their classes, and the least class of each cell that has several."""
-        if edges is None:
+        """The members with their classes, and the least class, with a member of it, of each cell that has several."""
+        if classes is None:
             known = members.withColumn("class", F.col("pid"))
         else:
-            known = members.join(components(edges).toDF("pid", "root"), "pid", "left").withColumn("class", F.coalesce("root", "pid")).drop("root")
-            known = stored(known, "classed")
+            known = stored(members.join(classes, "pid", "left").withColumn("class", F.coalesce("class", "pid")), "classed")
         least = known.groupBy("cell").agg(F.min("class").alias("of"), F.max("class").alias("last"), F.min_by("pid", "class").alias("lead"))
         return known, stored(least.where("of < last").select("cell", "of", "lead"), "mixed-cells")
 
     for _ in range(rounds):
         known, mixed = classed()
         leads = stored(mixed.join(known.select("cell", F.col("pid").alias("lead"), F.col("m").alias("mb"), F.col("w").alias("wb")), ["cell", "lead"]), "leads")
-        met = known.join(leads, "cell").where((F.col("class") != F.col("of")) & sized("m", "mb")).select(F.col("pid").alias("a"), F.col("lead").alias("b"), _apart("w", "wb").alias("d"))
-        star = met.where(F.col("d") <= FAR).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        found = _verified(star, points, size, similarity)
-        edges = found if edges is None else edges.unionAll(found)
+        met = known.join(leads, "cell").where((F.col("class") != F.col("of")) & sized("m", "mb")).select(F.col("pid").alias("a"), F.col("class").alias("x"), _apart("w", "wb").alias("d"), F.col("lead").alias("b"), F.col("of").alias("y"))
+        star = met.where(F.col("d") <= FAR).groupBy("a", "x").agg(F.min(F.struct("d", "b", "y")).alias("best")).select("a", "best.b", "x", "best.y")
+        links.append(_verified(star, points, size, similarity))
+        classes = _pointed(classes, links[-1])
     known, mixed = classed()
     rest = known.join(mixed.select("cell", "of"), "cell")
-    a = rest.where("class > of").select("cell", F.col("pid").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa"), F.col("class").alias("ca"))
-    b = rest.select("cell", F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"), F.col("class").alias("cb"), "of")
-    once = (F.col("cb") == F.col("of")) | ((F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")))
-    near = a.alias("x").join(b.alias("y"), (F.col("x.cell") == F.col("y.cell")) & once & sized("ma", "mb") & (_apart("wa", "wb") <= FAR))
-    found = _verified(near.select("a", "b").distinct(), points, size, similarity)
-    return found if edges is None else edges.unionAll(found)
+    a = rest.where("class > of").select("cell", F.col("pid").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa"), F.col("class").alias("x"))
+    b = rest.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"), F.col("class").alias("y"), "of")
+    once = (F.col("y") == F.col("of")) | ((F.col("x") != F.col("y")) & (F.col("a") > F.col("b")))
+    near = a.join(b, (F.col("cell") == F.col("cell_b")) & once & sized("ma", "mb") & (_apart("wa", "wb") <= FAR))
+    links.append(_verified(near.select("a", "b", "x", "y").distinct(), points, size, similarity))
+    found = links[0].toDF("a", "b")
+    for more in [*links[1:], *([classes] if classes is not None else [])]:
+        found = found.unionAll(more.toDF("a", "b"))
+    return found
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -132,3 +132,24 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
     masked = corpus_pipeline.personal_data(spark, df, "")
     assert masked.columns == df.columns and masked.count() == 5
     assert {r[n] for r in single.collect() for n in names} == set(names)
+
+
+def test_components(spark):
+    from tessera.llm.components import components
+
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, i) for i in range(1001, 1400)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, None), (7, 7)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if b is not None:
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {x: top(x) for x in root if top(x) != x}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
