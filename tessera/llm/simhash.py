@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import dropped, stored
 from tessera.llm.components import components
 
 #: Cells with more points than this are linked through meeting points.
@@ -241,14 +241,15 @@ def common_shingles(docs: DataFrame, size: int, text_col: str, one_in: int = 16,
 
 
 def prefix(x: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The shingles of a set of which one at least is shared by any set at the similarity.
+    """The first shingles of a set of which one at least is shared by any set at the similarity.
 
     Sets of m and n shingles that share at least the similarity of their union share at least
     that part of m; so, in one order of all shingles, they meet in the first m - similarity * m + 1.
     The order puts common shingles last. It may be any: only the number of meetings depends on it.
+    Each is given as a number whose order is that one (common or not, then the hash's upper 63 bits).
     """
     n = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1 if len(x) else 0
-    return x[np.argsort(_marked(common, x), kind="stable")[:n]]
+    return np.sort((x >> np.uint64(1)).view(np.int64) + np.where(_marked(common, x), 0, -(2**63)))[:n]
 
 
 SHINGLED = "doc_id long, extra long, pid long, m int, w array<long>, prefix array<long>, text string"
@@ -276,7 +277,7 @@ def shingled(docs: DataFrame, size: int, similarity: float, common: np.ndarray,
                         pa.array([xxhash.xxh64_intdigest(x.tobytes(), 7) >> 1 if len(x) else -1 for x in sets], pa.int64()),
                         pa.array([len(x) for x in sets], pa.int32()),
                         pa.array(list(set_signatures(sets, _WIDE).view(np.int64)), pa.list_(pa.int64())),
-                        pa.array([prefix(x, held.value, similarity).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                        pa.array([prefix(x, held.value, similarity) for x in sets], pa.list_(pa.int64())),
                     ]
                     yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("extra"), *columns, own.column("text")], names=[c.split()[0] for c in SHINGLED.split(", ")])
 
@@ -284,10 +285,11 @@ def shingled(docs: DataFrame, size: int, similarity: float, common: np.ndarray,
 
 
 def _chosen_cells(points: DataFrame) -> DataFrame:
-    """(cell, lead): one cell for each different membership of two or more points, and its least point.
+    """(cell, lead): the first cell, in the order of shingles, of each different membership of two or more points, and its least point.
 
-    Counts are pre-aggregated, so a cell with a third of all points is one row a task.
-    A membership is told by its least point and the hashes of all.
+    So the first shingle that two sets share is in a chosen cell, or one of the same
+    points is before it. Cells are pre-aggregated: one with a third of all points is one
+    row a task. A membership is told by its least point and the hashes of all.
     """
     cells = points.select("pid", F.explode("prefix").alias("cell"))
     mark = F.xxhash64("pid")
@@ -297,19 +299,21 @@ def _chosen_cells(points: DataFrame) -> DataFrame:
 
 
 def _members(points: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(cell, pid, m, w) of the chosen cells' points; a table of bits keeps most other cells from being dealt out."""
+    """(cell, pid, m, at, w) of the chosen cells' points, with the shingle's place in the point's order; a table of bits keeps most other cells from being dealt out."""
     held = points.sparkSession.sparkContext.broadcast(_table(chosen.select(F.col("cell").alias("key"))))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            flat, ends = batch.column("prefix").flatten().to_numpy(zero_copy_only=False), np.cumsum(batch.column("prefix").value_lengths().to_numpy(zero_copy_only=False))
-            at = np.flatnonzero(_marked(held.value, np.ascontiguousarray(flat, dtype=np.int64)))
-            own = pa.array(np.searchsorted(ends, at, side="right"))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[at]), *[batch.column(c).take(own) for c in ("pid", "m", "w")]], names=["cell", "pid", "m", "w"])
-
-    few = points.where("m > 0").select("pid", "m", "w", "prefix").mapInArrow(run, "cell long, pid long, m int, w array<long>")
+            sizes = batch.column("prefix").value_lengths().to_numpy(zero_copy_only=False)
+            flat, starts = batch.column("prefix").flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+            i = np.flatnonzero(_marked(held.value, np.ascontiguousarray(flat, dtype=np.int64)))
+            own = np.searchsorted(starts + sizes, i, side="right")
+            pid, m, w = (batch.column(c).take(pa.array(own)) for c in ("pid", "m", "w"))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[i]), pid, m, pa.array((i - starts[own]).astype(np.int32)), w], names=["cell", "pid", "m", "at", "w"])
+
+    few = points.where("m > 0").select("pid", "m", "w", "prefix").mapInArrow(run, "cell long, pid long, m int, at int, w array<long>")
     return stored(few.join(chosen.select("cell"), "cell"), "members")
 
 
@@ -346,7 +350,9 @@ def _verified(pairs: DataFrame, points: DataFrame, size: int, similarity: float)
 
     texts = points.select("pid", "text").where(named("pid"))
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return stored(both.select("b", "x", "y", "ta", "tb").mapInArrow(run, "x long, y long").distinct(), "verified")
+    out = stored(both.select("b", "x", "y", "ta", "tb").mapInArrow(run, "x long, y long").distinct(), "verified")
+    dropped(pairs)
+    return out
 
 
 def _pointed(classes: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -368,17 +374,21 @@ def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, ro
     """Edges (a, b) whose components are those of all pairs of sets at the similarity or above.
 
     ``points`` (pid, m, w, prefix, text) has one row for each set. Sets that are alike share
-    a cell (``prefix``), and cells of equal membership are one; sizes and signatures only
-    drop pairs that cannot be alike (``FAR``), and the sets decide. Each point is first held
+    a cell (``prefix``), and cells of equal membership are one. Places, sizes and signatures
+    only drop pairs that cannot be alike, and the sets decide: at the first shingle that two
+    sets share, no more than it and what follows can be shared; ``FAR`` bounds signatures. Each point is first held
     against one leader, the closest of its cells, in ``rounds`` passes, and what that links
     is one class; then all pairs of different classes in a cell are compared, so that a large
     group of near copies is not paired with itself and no link between classes is lost.
     """
-    members = _members(points, _chosen_cells(points))
-    classes, links = None, []
+    chosen = _chosen_cells(points)
+    members = _members(points, chosen)
+    classes, links, spent = None, [], [chosen, members]
 
-    def sized(a: str, b: str) -> Column:
-        return F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    def may(m: str, at: str, mb: str, at_b: str, w: str, wb: str) -> Column:
+        sized = F.least(m, mb) >= similarity * F.greatest(m, mb) - 1e-9
+        left = F.least(F.col(m) - F.col(at), F.col(mb) - F.col(at_b))
+        return sized & (left >= (F.col(m) + F.col(mb)) * (similarity / (1 + similarity)) - 1e-9) & (_apart(w, wb) <= FAR)
 
     def classed() -> tuple[DataFrame, DataFrame]:
         """The members with their classes, and the least class, with a member of it, of each cell that has several."""
@@ -386,23 +396,27 @@ def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, ro
             known = members.withColumn("class", F.col("pid"))
         else:
             known = stored(members.join(classes, "pid", "left").withColumn("class", F.coalesce("class", "pid")), "classed")
+            spent.append(known)
         least = known.groupBy("cell").agg(F.min("class").alias("of"), F.max("class").alias("last"), F.min_by("pid", "class").alias("lead"))
-        return known, stored(least.where("of < last").select("cell", "of", "lead"), "mixed-cells")
+        spent.append(stored(least.where("of < last").select("cell", "of", "lead"), "mixed-cells"))
+        return known, spent[-1]
 
     for _ in range(rounds):
         known, mixed = classed()
-        leads = stored(mixed.join(known.select("cell", F.col("pid").alias("lead"), F.col("m").alias("mb"), F.col("w").alias("wb")), ["cell", "lead"]), "leads")
-        met = known.join(leads, "cell").where((F.col("class") != F.col("of")) & sized("m", "mb")).select(F.col("pid").alias("a"), F.col("class").alias("x"), _apart("w", "wb").alias("d"), F.col("lead").alias("b"), F.col("of").alias("y"))
-        star = met.where(F.col("d") <= FAR).groupBy("a", "x").agg(F.min(F.struct("d", "b", "y")).alias("best")).select("a", "best.b", "x", "best.y")
+        leads = stored(mixed.join(known.select("cell", F.col("pid").alias("lead"), F.col("m").alias("mb"), F.col("at").alias("at_b"), F.col("w").alias("wb")), ["cell", "lead"]), "leads")
+        met = known.join(leads, "cell").where((F.col("class") != F.col("of")) & may("m", "at", "mb", "at_b", "w", "wb")).select(F.col("pid").alias("a"), F.col("class").alias("x"), _apart("w", "wb").alias("d"), F.col("lead").alias("b"), F.col("of").alias("y"))
+        spent.append(leads)
+        star = met.groupBy("a", "x").agg(F.min(F.struct("d", "b", "y")).alias("best")).select("a", "best.b", "x", "best.y")
         links.append(_verified(star, points, size, similarity))
         classes = _pointed(classes, links[-1])
     known, mixed = classed()
     rest = known.join(mixed.select("cell", "of"), "cell")
-    a = rest.where("class > of").select("cell", F.col("pid").alias("a"), F.col("m").alias("ma"), F.col("w").alias("wa"), F.col("class").alias("x"))
-    b = rest.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("w").alias("wb"), F.col("class").alias("y"), "of")
+    a = rest.where("class > of").select("cell", F.col("pid").alias("a"), "m", "at", "w", F.col("class").alias("x"))
+    b = rest.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("at").alias("at_b"), F.col("w").alias("wb"), F.col("class").alias("y"), "of")
     once = (F.col("y") == F.col("of")) | ((F.col("x") != F.col("y")) & (F.col("a") > F.col("b")))
-    near = a.join(b, (F.col("cell") == F.col("cell_b")) & once & sized("ma", "mb") & (_apart("wa", "wb") <= FAR))
+    near = a.join(b, (F.col("cell") == F.col("cell_b")) & once & may("m", "at", "mb", "at_b", "w", "wb"))
     links.append(_verified(near.select("a", "b", "x", "y").distinct(), points, size, similarity))
+    dropped(*spent)
     found = links[0].toDF("a", "b")
     for more in [*links[1:], *([classes] if classes is not None else [])]:
         found = found.unionAll(more.toDF("a", "b"))
@@ -428,7 +442,8 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     rooted = points.select("pid", "key").join(found.toDF("pid", "root"), "pid", "left")
     kept = rooted.groupBy(F.coalesce("root", "pid").alias("root")).agg(F.min("key").alias("key"))
     # the texts are dealt once by this key, for the join and for the repeated rows
-    kept = kept.select(F.xxhash64("key.doc_id", "key.h").alias("k"), F.col("key.doc_id").alias("kept_id"), F.col("key.h").alias("kept_h"))
+    kept = stored(kept.select(F.xxhash64("key.doc_id", "key.h").alias("k"), F.col("key.doc_id").alias("kept_id"), F.col("key.h").alias("kept_h")), "kept")
+    dropped(points)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text_hash.alias("h")).withColumn("k", F.xxhash64("id", "h"))
     chosen = rows.join(kept, (rows["k"] == kept["k"]) & F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
     return chosen.dropDuplicates(["k", "id", "h"]).select("row.*")
