@@ -24,8 +24,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no path of their own; source, language and id stand for one."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    """The documents have no path, so each is in a directory of its own, and none inherits from another."""
+    path = F.concat(F.col("doc_id").cast("string"), F.lit("/text"))
     return licenses.scan(documents(spark, sf_dir).withColumn("path", path))
 
 

@@ -342,12 +342,54 @@ def test_op9(docs, rows, empty):
 def test_op9_network_on_held_out_findings(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     net = secrets.fit(df.where("doc_id % 2 = 0"))
+    assert net.recall >= 0.98 and net.precision > 0.9
     found = [x for r in df.where("doc_id % 2 = 1").select("text").collect() for x in secrets.labelled(r.text)]
-    y = np.array([a for a, _ in found])
-    p = net.probability(secrets.coded([w for _, w in found])) >= net.threshold
+    y = np.array([a for a, _, _ in found])
+    p = net.probability(secrets.coded([w for *_, w in found])) >= net.threshold
     assert p[y == 1].mean() > 0.9 and p[y == 0].mean() < 0.02
 
 
+def test_op9_network_finds_what_no_rule_does(spark):
+    """Upper-case keys under a name that the rules don't know are found, plain numbers stay out."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(6)
+
+    def key(letters, n):
+        return "".join(rng.choice(list(letters), n))
+
+    made = [f'and so my passphrase = "{key("0123456789ABCDEF", 40)}" went out' for _ in range(40)]
+    plain = [f"the card 4{key('0123456789', 15)} and host {rng.integers(1, 250)}.{rng.integers(1, 250)}.{rng.integers(1, 250)}.77 stay" for _ in range(40)]
+    assert not any(secrets.base_findings(t) for t in plain + made)
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(made + plain)], "doc_id long, text string")
+    got = {r.doc_id: r.n_model for r in secrets.scan(df.unionAll(more)).where("doc_id >= 1000000").collect()}
+    assert sum(got[10**6 + i] > 0 for i in range(40)) >= 30
+    assert sum(got[10**6 + 40 + i] > 0 for i in range(40)) <= 4
+    # without labels the rules stand alone
+    assert secrets.fit(more) is None and {r.n_model for r in secrets.scan(more).collect()} == {0}
+
+
+def test_op9_spans_outside():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        spans = sorted({(int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 9, 6), strict=True)})
+        spans = [s for i, s in enumerate(spans) if i == 0 or s[0] >= spans[i - 1][1]]
+        base = sorted((int(a), 0, int(a + n)) for a, n in zip(rng.integers(0, 60, 4), rng.integers(1, 20, 4), strict=True))
+        assert secrets.outside(spans, base) == [(a, b) for a, b in spans if not any(s < b and a < e for s, _, e in base)]
+
+
+def test_exact_ids_beside_null_ids(spark):
+    """Ids over 2^53 come back as they are."""
+    big, text = 2**53 + 1, "Released under the MIT License. password=abc123 and more words " * 3
+    df = spark.createDataFrame([(None, text, "s", "p/q"), (big, text, "s", "p/q"), (big + 2, None, None, None)], "doc_id long, text string, source string, path string")
+    path = P.path("word_bpe_49k.json")
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
+    for result in (
+        pii.report(df), tokens.token_counts(df, path), simhash.near_duplicates(df), pieces.encoded(df, P.path("piece_bpe_32k.model")), packing.pack(df, path),
+        quality.assess(df, labels), fingerprints.fingerprints(df), secrets.scan(df), sharding.interleave(df), licenses.scan(df),
+    ):
+        assert {r.doc_id for r in result.select("doc_id").collect()} == {None, big, big + 2}
+
+
 def test_op10(docs, rows, empty):
     got = out(sharding.interleave(docs, rows_each=40))
     assert len(got) == len(rows)
@@ -390,6 +432,38 @@ def test_op3(spark, docs, rows, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def brute_licenses(texts, threshold=0.5):
+    """TF-IDF cosines of all headers to all templates, in plain Python."""
+    own = [licenses.headers_of(t or "", None, 0.5)[0] for t in texts]
+    every, kinds = [h for hs in own for h in hs], licenses.TEMPLATES
+    df = Counter(t for h in every for t in set(licenses.terms(h)))
+
+    def vector(text):
+        v = {t: c * (np.log((len(every) + 1) / (df[t] + 1)) + 1) for t, c in Counter(licenses.terms(text)).items()}
+        n = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / n for t, x in v.items()} if n else {}
+
+    templates = [(name, vector(text)) for name, text in kinds]
+    out = []
+    for hs in own:
+        best = min(((-round(sum(x * v.get(t, 0) for t, x in vector(h).items()), 9), name) for h in hs for name, v in templates), default=(0, None))
+        out.append(best[1] if -best[0] >= threshold else None)
+    return out
+
+
+def test_op3_against_brute_force(spark, rows):
+    texts = [t for _, t, _ in rows] + [
+        *[text for _, text in licenses.TEMPLATES], "# Copyright 2020 A. Person\n#\n" + licenses._BSD.replace("\n", "\n# ") + "\n# " + licenses._BSD_END, "This file is\nlicensed under the Apache\nLicense, Version 2.0\n\ntext",
+        "In the public domain", "Copyright nobody at all",
+    ]
+    df = spark.createDataFrame([(i, f"{i}/text", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    want = brute_licenses(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert [want[len(rows) + i] for i in range(len(licenses.TEMPLATES))] == [name for name, _ in licenses.TEMPLATES]
+    assert got[len(rows) + len(licenses.TEMPLATES)] == "BSD-2-Clause" and got[len(rows) + len(licenses.TEMPLATES) + 1] == "Apache-2.0"
+
+
 def test_op3_common_terms_weigh_little_at_every_size(spark):
     """A wording that half of the headers share is not rare because no template holds it."""
     for n in (20, 4000):
