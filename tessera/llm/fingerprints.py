@@ -117,19 +117,21 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in halves)))
 
 
-def tell_apart(texts: DataFrame, digest_col: str = "digest", canon_col: str = "canon") -> DataFrame:
+def tell_apart(texts: DataFrame, digest_col: str = "digest", canon_col: str = "canon") -> DataFrame | None:
     """Compares the canonical bytes of rows with equal digests.
 
     Returns (digest, canon, suffix) for the digests that stand for more than one
-    canonical text, and no row for the others. The least and greatest text of a
+    canonical text, or None if there are none. The least and greatest text of a
     digest are found by partial aggregation, so a huge group of copies costs one
-    row a task; only real collisions are listed.
+    row a task; texts are dealt by digest only where there is a real collision.
     """
     spread = texts.groupBy(digest_col).agg(F.min(canon_col).alias("_lo"), F.max(canon_col).alias("_hi"))
-    clash = spread.where("_lo < _hi").select(digest_col)
+    clash = stored(spread.where("_lo < _hi").select(digest_col), "clashes")
+    if not clash.limit(1).count():
+        return None
     forms = texts.join(clash, digest_col, "left_semi").select(digest_col, canon_col).distinct()
     order = Window.partitionBy(digest_col).orderBy(canon_col)
-    return forms.withColumn("suffix", F.concat(F.lit("-"), F.row_number().over(order).cast("string")))
+    return stored(forms.withColumn("suffix", F.concat(F.lit("-"), F.row_number().over(order).cast("string"))), "apart")
 
 
 def neighbours(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -199,8 +201,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     every = first.select("digest").unionAll(first.select(F.col("edited_digest").alias("digest")))
     shared = stored(every.groupBy("digest").count().where("count > 1").select("digest"), "shared-digests")
-    apart = stored(tell_apart(_texts_of(base, first, shared)), "apart")
-    return _result(_with_suffixes(base, first, apart) if apart.limit(1).count() else first)
+    apart = tell_apart(_texts_of(base, first, shared))
+    return _result(first if apart is None else _with_suffixes(base, first, apart))
 
 
 def _edited(text: str, following: str) -> Column:
