@@ -46,12 +46,12 @@ def neighbor_residual_corr(values: DataFrame, edges: DataFrame, column: str = "r
     return values.join(near, ["t", "id"]).groupBy("t").agg(correlation(column, "_near").alias("residual_corr"))
 
 
-def incremental_r2(panel: DataFrame, edges: DataFrame, factors: list[str], target: str = "y") -> DataFrame:
+def incremental_r2(panel: DataFrame, edges: DataFrame, factors: list[str], target: str = "y", intercept: bool = True) -> DataFrame:
     """(t, r2_base, r2_full, delta_r2, betas): what the neighbours' factors add in each period, in sample."""
     names = [f"{f}_n" for f in factors]
     near = neighbor_features(panel, row_normalize(edges), factors, names)
     both = panel.select("t", "id", *factors, target).join(near, ["t", "id"])
-    fits = fit_per_period(both, [*factors, *names], target, base=factors)
+    fits = fit_per_period(both, [*factors, *names], target, factors, intercept)
     return fits.select("t", "r2_base", F.col("r2").alias("r2_full"), (F.col("r2") - F.col("r2_base")).alias("delta_r2"), "beta_base", F.concat(F.array("intercept"), "beta").alias("beta_full"))
 
 

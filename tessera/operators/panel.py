@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import missing, or_one
@@ -38,6 +38,23 @@ def align_target(panel: DataFrame, factors: list[str], lag: int = 1, target: str
     return panel.select("t", "id", *factors).join(later, ["t", "id"]).withColumnRenamed("_y", target)
 
 
+def flatten_panel(panel: DataFrame, factors: list[str], target: str = "y") -> DataFrame:
+    """The rows as a learner takes them: ``row`` numbers them by period, then entity, from 0; then the factors and the target.
+
+    A period's entities are numbered by themselves and shifted by the sizes of the periods before.
+    """
+    sizes = panel.groupBy("t").agg(F.count(F.lit(1)).alias("_size"))  # one row a period
+    before = sizes.select("t", F.coalesce(F.sum("_size").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = panel.withColumn("_at", F.row_number().over(Window.partitionBy("t").orderBy("id")) - 1)
+    return inside.join(F.broadcast(before), "t").select((F.col("_at") + F.col("_before")).cast("long").alias("row"), *factors, target)
+
+
+def raw_dataset(panel: DataFrame, factors: list[str], lag: int = 1, flatten: bool = True, target: str = "y") -> DataFrame:
+    """Factors aligned with the later target; flattened, or as a panel."""
+    aligned = align_target(panel, factors, lag, target)
+    return flatten_panel(aligned, factors, target) if flatten else aligned
+
+
 def align_graph(edges: DataFrame, total: int, lag: int = 1) -> DataFrame:
     """The graph has the features' date: its last ``lag`` periods go."""
     return edges.where(F.col("t") < total - lag)

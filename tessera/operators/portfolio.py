@@ -17,10 +17,11 @@ def with_ranks(pred: DataFrame) -> DataFrame:
 
 
 def quantile_bins(pred: DataFrame, bins: int = 5) -> DataFrame:
-    """bin = floor(rank * bins / size), ascending by score."""
+    """bin = floor(rank * bins / size), ascending by score; a period of fewer rows than bins is an error (raised by the job)."""
     if bins < 2:
         raise ValueError("at least two bins are needed")
-    return with_ranks(pred).withColumn("bin", F.expr(f"cast((rank0 * {bins}) div size as int)"))
+    place = F.expr(f"cast((rank0 * {bins}) div size as int)")
+    return with_ranks(pred).withColumn("bin", F.when(F.col("size") >= bins, place).otherwise(F.raise_error(F.lit("a period has fewer rows than bins")).cast("int")))
 
 
 def quantile_returns(pred: DataFrame, bins: int = 5) -> DataFrame:

@@ -34,14 +34,21 @@ def _matrices(row: dict, factors: list[str], target: str) -> tuple[np.ndarray, n
     return gram, np.array([product(a, target) for a in cols], dtype=float), row[f"p_{target}__{target}"]
 
 
-def fit_ridge(train: DataFrame, factors: list[str], alpha: float = 1.0, target: str = "y", intercept: bool = True) -> tuple[float, list[float]]:
-    """(X'X + alpha I) beta = X'y, the intercept not penalised; alpha 0 is least squares of minimum norm.
+def moments(train: DataFrame, factors: list[str], target: str = "y") -> dict:
+    """The sums from which any model over some of the factors is fitted: one aggregation, one row to the driver."""
+    return train.agg(*_sums(factors, target)).first().asDict()
 
-    One aggregation; the driver gets one row of sums.
-    """
+
+def moments_by(train: DataFrame, key: str, factors: list[str], target: str = "y") -> dict:
+    """``moments`` for each value of a key with few values."""
+    return {row[key]: row.asDict() for row in train.groupBy(key).agg(*_sums(factors, target)).collect()}
+
+
+def solve_ridge(sums: dict, factors: list[str], alpha: float = 1.0, target: str = "y", intercept: bool = True) -> tuple[float, list[float]]:
+    """(X'X + alpha I) beta = X'y, the intercept not penalised; alpha 0 is least squares of minimum norm."""
     if alpha < 0:
         raise ValueError("alpha must not be negative")
-    gram, moment, _ = _matrices(train.agg(*_sums(factors, target)).first().asDict(), factors, target)
+    gram, moment, _ = _matrices(sums, factors, target)
     if not intercept:
         gram, moment = gram[1:, 1:], moment[1:]
     penalty = alpha * np.eye(len(gram))
@@ -51,6 +58,12 @@ def fit_ridge(train: DataFrame, factors: list[str], alpha: float = 1.0, target:
     return (float(beta[0]), beta[1:].tolist()) if intercept else (0.0, beta.tolist())
 
 
+def fit_ridge(train: DataFrame, factors: list[str], alpha: float = 1.0, target: str = "y", intercept: bool = True) -> tuple[float, list[float]]:
+    if alpha < 0:
+        raise ValueError("alpha must not be negative")
+    return solve_ridge(moments(train, factors, target), factors, alpha, target, intercept)
+
+
 def fit_ols(train: DataFrame, factors: list[str], target: str = "y", intercept: bool = True) -> tuple[float, list[float]]:
     return fit_ridge(train, factors, 0.0, target, intercept)
 
@@ -59,29 +72,31 @@ def predict_linear(df: DataFrame, factors: list[str], coef: tuple[float, list[fl
     return df.withColumn(name, dot(factors, coef[1]) + coef[0])
 
 
-def fit_per_period(panel: DataFrame, factors: list[str], target: str = "y", base: list[str] | None = None) -> DataFrame:
+def fit_per_period(panel: DataFrame, factors: list[str], target: str = "y", base: list[str] | None = None, intercept: bool = True) -> DataFrame:
     """One regression for each period (t, intercept, beta, r2, and r2_base over the ``base`` factors).
 
     Sums by period in one aggregation, then a small batch of solves (one row a period).
+    Without an intercept it is 0, and r2 still compares with the period's mean.
     """
     sums = panel.groupBy("t").agg(*_sums(factors, target))
     base = factors if base is None else base
 
-    def solve(gram: np.ndarray, moment: np.ndarray, syy: float):
-        beta = np.linalg.pinv(gram) @ moment
-        sse = syy - 2 * beta @ moment + beta @ gram @ beta
+    def solve(gram: np.ndarray, moment: np.ndarray, syy: float, at: list[int]):
+        g, m = gram[np.ix_(at, at)], moment[at]
+        beta = np.linalg.pinv(g) @ m
+        sse = syy - 2 * beta @ m + beta @ g @ beta
         mean = moment[0] / gram[0, 0]
         sst = syy - gram[0, 0] * mean * mean
-        return beta, 0.0 if sst < 1e-12 else 1 - sse / sst
+        return beta if intercept else np.r_[0.0, beta], 0.0 if sst < 1e-12 else 1 - sse / sst
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = [0] if intercept else []
         for pdf in batches:
             out = []
             for row in pdf.to_dict("records"):
                 gram, moment, syy = _matrices(row, factors, target)
-                beta, r2 = solve(gram, moment, syy)
-                at = [0] + [1 + factors.index(f) for f in base]
-                beta0, r2_base = solve(gram[np.ix_(at, at)], moment[at], syy)
+                beta, r2 = solve(gram, moment, syy, [*first, *range(1, len(gram))])
+                beta0, r2_base = solve(gram, moment, syy, [*first, *[1 + factors.index(f) for f in base]])
                 out.append((row["t"], float(beta[0]), beta[1:].tolist(), beta0.tolist(), float(r2_base), float(r2)))
             yield pd.DataFrame(out, columns=["t", "intercept", "beta", "beta_base", "r2_base", "r2"])
 
@@ -116,7 +131,7 @@ def fit_trees(train: DataFrame, factors: list[str], kind: str = "forest", target
     assembler = VectorAssembler(inputCols=factors, outputCol="_features")
     common = {"featuresCol": "_features", "labelCol": target, "predictionCol": "y_pred", "seed": seed}
     if kind == "forest":
-        model = RandomForestRegressor(numTrees=trees or 200, maxDepth=12, featureSubsetStrategy="all", **common)
+        model = RandomForestRegressor(numTrees=trees or 200, maxDepth=30, featureSubsetStrategy="all", **common)
     else:
         model = GBTRegressor(maxIter=trees or 300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", **common)
     return Pipeline(stages=[assembler, model]).fit(train)

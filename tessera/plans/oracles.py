@@ -40,11 +40,13 @@ CTE = {
     ),
     "pairs": (
         ["zr"],
-        """SELECT a.t, a.id AS src, b.id AS dst, (a.f1-b.f1)*(a.f1-b.f1)+(a.f2-b.f2)*(a.f2-b.f2)+(a.f3-b.f3)*(a.f3-b.f3)+(a.f4-b.f4)*(a.f4-b.f4) AS score
+        """SELECT a.t, a.id AS src, b.id AS dst, (a.f1-b.f1)*(a.f1-b.f1)+(a.f2-b.f2)*(a.f2-b.f2)+(a.f3-b.f3)*(a.f3-b.f3)+(a.f4-b.f4)*(a.f4-b.f4)+(a.f5-b.f5)*(a.f5-b.f5) AS score
         FROM zr a JOIN zr b ON a.t = b.t AND a.id <> b.id""",
     ),
-    "knn": (["pairs"], "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY t, src ORDER BY score, dst) AS rank FROM pairs) WHERE rank <= 5"),
+    "knn": (["pairs"], "SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY t, src ORDER BY score, dst) AS rank FROM pairs) WHERE rank <= 10"),
     "rbf": (["knn"], "SELECT t, src, dst, rank, EXP(-score) AS w FROM knn WHERE score > 0"),
+    "mutual": (["rbf"], "SELECT t, src, dst, SUM(w)/2 AS w FROM (SELECT t, src, dst, w FROM rbf UNION ALL SELECT t, dst, src, w FROM rbf) GROUP BY 1, 2, 3"),
+    "factor_graph": (["mutual"], "SELECT t, src, dst, w / CASE WHEN SUM(w) OVER (PARTITION BY t, src) < 1e-12 THEN 1 ELSE SUM(w) OVER (PARTITION BY t, src) END AS w FROM mutual"),
     "ranked": (["pred"], "SELECT *, ROW_NUMBER() OVER (PARTITION BY model, t ORDER BY y_pred, id) - 1 AS rank0, COUNT(*) OVER (PARTITION BY model, t) AS size FROM pred"),
     "ls": (
         ["ranked"],
@@ -80,15 +82,27 @@ CTE = {
     ),
     "near": (["panel", "sym"], "SELECT n.t, n.id, COALESCE(SUM(s.w * p.f1), 0) AS f1, COALESCE(SUM(s.w * p.f2), 0) AS f2 FROM panel n LEFT JOIN sym s ON s.t = n.t AND s.src = n.id LEFT JOIN panel p ON p.t = s.t AND p.id = s.dst GROUP BY 1, 2"),
     "near2": (["near", "sym"], "SELECT n.t, n.id, COALESCE(SUM(s.w * p.f1), 0) AS f1, COALESCE(SUM(s.w * p.f2), 0) AS f2 FROM near n LEFT JOIN sym s ON s.t = n.t AND s.src = n.id LEFT JOIN near p ON p.t = s.t AND p.id = s.dst GROUP BY 1, 2"),
+    **{
+        name: ([of, "factor_graph"], "SELECT n.t, n.id, " + ", ".join(f"COALESCE(SUM(s.w * p.{f}), 0) AS {f}" for f in FACTORS) + f" FROM {of} n LEFT JOIN factor_graph s ON s.t = n.t AND s.src = n.id LEFT JOIN {of} p ON p.t = s.t AND p.id = s.dst GROUP BY 1, 2")
+        for name, of in (("hop1", "zr"), ("hop2", "hop1"))
+    },
+    "winsor": (
+        ["panel"],
+        "SELECT p.t, p.id, p.y, " + ", ".join(f"LEAST(GREATEST(p.{f}, q.{f}[1]), q.{f}[2]) AS {f}" for f in FACTORS) + " FROM panel p JOIN (SELECT t, " + ", ".join(f"QUANTILE_CONT({f}, [0.01, 0.99]) AS {f}" for f in FACTORS) + " FROM panel GROUP BY t) q ON q.t = p.t",
+    ),
+    "clean": (
+        ["winsor"],
+        "SELECT t, id, y, " + ", ".join(f"({f} - AVG({f}) OVER v)/CASE WHEN STDDEV_POP({f}) OVER v < 1e-12 THEN 1 ELSE STDDEV_POP({f}) OVER v END AS {f}" for f in FACTORS) + " FROM winsor WINDOW v AS (PARTITION BY t)",
+    ),
 }
 
 
-def sql(*names: str, last: str) -> str:
-    """``last`` with the needed views before it, each once and in order."""
+def sql(*names: str, last: str, **other: tuple[list[str], str]) -> str:
+    """``last`` with the needed views before it, each once and in order; ``other`` views stand for those of their name."""
     done: dict[str, str] = {}
 
     def need(name: str) -> None:
-        deps, body = CTE[name]
+        deps, body = other.get(name) or CTE[name]
         for d in deps:
             need(d)
         done.setdefault(name, body)

@@ -1,17 +1,18 @@
 """The operators as queries over the given tables, and their oracles.
 
 Doubles are rounded to six digits in both engines, because sums of doubles depend
-on their order.
+on their order. Where averages of prices can end in an exact 5, both engines round by
+the same steps (``FLOOR(ROUND(x, 9) * 1e6 + 0.5) / 1e6``).
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import compare, diagnostics, graph, knn, metrics, neighbours, panel, portfolio, regress
+from tessera.functions.tables import shared_path, stored
+from tessera.plans import jobs
 from tessera.plans.oracles import FACTORS, sql
 from tessera.sources import panels
 
@@ -20,13 +21,13 @@ ORACLE_SQL: dict[str, str] = {}
 BETA_SELF, BETA_NEAR = [0.5, -0.3, 0.2, 0.1, -0.2], [0.3, -0.2, 0.1, 0.0, -0.1]
 
 
-def query(*names: str, last: str | None = None):
+def query(*names: str, last: str | None = None, **other):
     """Registers a query under its function's name, with its oracle."""
 
     def register(f):
         QUERIES[f.__name__] = f
         if last is not None:
-            ORACLE_SQL[f.__name__] = sql(*names, last=last)
+            ORACLE_SQL[f.__name__] = sql(*names, last=last, **other)
         return f
 
     return register
@@ -40,16 +41,13 @@ def _r(columns: str) -> str:
     return ", ".join(f"ROUND({c}, 6) AS {c}" for c in columns.split())
 
 
-#: Averages of prices end in an exact 5 now and then; this moves them off the rounding boundary in both engines.
-SHIFT = 1.7e-8
-
-
-def shifted(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(c) + SHIFT, 6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+def half_up(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six digits by plain arithmetic, the same in every engine."""
+    return df.select(*[(F.floor(F.round(c, 9) * 1e6 + 0.5) / 1e6).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
-def _s(columns: str) -> str:
-    return ", ".join(f"ROUND({c} + {SHIFT}::DOUBLE, 6) AS {c}" for c in columns.split())
+def _h(columns: str) -> str:
+    return ", ".join(f"FLOOR(ROUND({c}, 9) * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS {c}" for c in columns.split())
 
 
 def sm(spark: SparkSession, sf: str) -> DataFrame:
@@ -140,35 +138,41 @@ def zscore_global(spark, sf):
     return rounded(panel.zscore_global(sm(spark, sf), FACTORS))
 
 
-_WINSOR = "SELECT p.t, p.id, p.y, " + ", ".join(f"LEAST(GREATEST(p.{f}, q.{f}[1]), q.{f}[2]) AS {f}" for f in FACTORS) + " FROM panel p JOIN (SELECT t, " + ", ".join(f"QUANTILE_CONT({f}, [0.01, 0.99]) AS {f}" for f in FACTORS) + " FROM panel GROUP BY t) q ON q.t = p.t"
-
-
-@query("panel", last=f"SELECT t, id, {_s(F5 + ' y')} FROM ({_WINSOR})")
+@query("winsor", last=f"SELECT t, id, {_h(F5 + ' y')} FROM winsor")
 def winsorize_cs(spark, sf):
-    return shifted(panel.winsorize_cs(sm(spark, sf), FACTORS))
+    return half_up(panel.winsorize_cs(sm(spark, sf), FACTORS))
 
 
-@query("panel", last="SELECT t, id, ROUND(y, 6) AS y, " + ", ".join(f"ROUND(({f} - AVG({f}) OVER v)/CASE WHEN STDDEV_POP({f}) OVER v < 1e-12 THEN 1 ELSE STDDEV_POP({f}) OVER v END, 6) AS {f}" for f in FACTORS) + f" FROM ({_WINSOR}) WINDOW v AS (PARTITION BY t)")
+@query("clean", last=f"SELECT {PANEL} FROM clean")
 def preprocess_panel(spark, sf):
     return rounded(panel.preprocess_panel(sm(spark, sf), FACTORS))
 
 
+@query("aligned", last=f"SELECT ROW_NUMBER() OVER (ORDER BY t, id) - 1 AS row, {_r(F5 + ' y')} FROM aligned")
+def raw_dataset(spark, sf):
+    return rounded(panel.raw_dataset(sm(spark, sf), FACTORS))
+
+
+@query("panel", last=f"SELECT ROW_NUMBER() OVER (ORDER BY t, id) - 1 AS row, {_r(F5 + ' y')} FROM panel")
+def flatten_panel(spark, sf):
+    return rounded(panel.flatten_panel(sm(spark, sf), FACTORS))
+
+
 # -- graphs ------------------------------------------------------------------------
 
 @query("pairs", last="SELECT t, src, dst, ROUND(SQRT(score), 6) AS distance FROM pairs")
 def pairwise_euclidean(spark, sf):
-    return knn.scored_pairs(zr(spark, sf), FACTORS[:4], True).select("t", "src", "dst", F.round(F.sqrt("score"), 6).alias("distance"))
+    return knn.scored_pairs(zr(spark, sf), FACTORS, True).select("t", "src", "dst", F.round(F.sqrt("score"), 6).alias("distance"))
 
 
 @query("knn", last="SELECT t, src, dst, ROUND(score, 6) AS score, CAST(rank AS INT) AS rank FROM knn")
 def knn_topk(spark, sf):
-    return rounded(knn.knn_topk(zr(spark, sf), FACTORS[:4], 5))
+    return rounded(knn.knn_topk(zr(spark, sf), FACTORS, 10))
 
 
-@query("rbf", last="""SELECT t, src, dst, ROUND(w / SUM(w) OVER (PARTITION BY t, src) + 1.7e-8::DOUBLE, 6) AS w FROM
-    (SELECT t, src, dst, SUM(w)/2 AS w FROM (SELECT t, src, dst, w FROM rbf UNION ALL SELECT t, dst, src, w FROM rbf) GROUP BY 1, 2, 3)""")
+@query("factor_graph", last="SELECT t, src, dst, ROUND(w, 6) AS w FROM factor_graph")
 def factor_knn_graph(spark, sf):
-    return shifted(knn.factor_knn_graph(zr(spark, sf), FACTORS[:4], 5))
+    return rounded(knn.factor_knn_graph(zr(spark, sf), FACTORS, 10))
 
 
 @query(last="""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / SQRT(list_dot_product(v, v))) AS v FROM v),
@@ -206,12 +210,16 @@ def return_corr_threshold(spark, sf):
 ORACLE_SQL["return_corr_threshold"] = _CORR.format(ctes=_grid_ctes()) + " SELECT t, src, dst, ROUND(LEAST(score, 1), 6) AS w FROM s WHERE score >= 0.9 AND score > 0"
 
 
-@query("nodes", last="""SELECT t, src, dst, 1.0::DOUBLE AS w FROM (SELECT a.t, a.id AS src, b.id AS dst, ROW_NUMBER() OVER (PARTITION BY a.t, a.id ORDER BY (a.id*7919 + b.id*104729 + a.t*1299709 + 42) % 1000003, b.id) AS r
-    FROM nodes a JOIN nodes b ON a.t = b.t) WHERE r <= 5""")
+@query()
 def random_null_graph(spark, sf):
     return knn.random_null_graph(graph.nodes_of(sm(spark, sf)), 5)
 
 
+ORACLE_SQL["random_null_graph"] = sql("nodes", last="""SELECT a.t, a.id AS src, b.id AS dst, 1.0::DOUBLE AS w FROM numbered a CROSS JOIN (SELECT UNNEST(RANGE(5)) AS j)
+    JOIN numbered b ON b.t = a.t AND b.at = (j * a.n) // LEAST(5, a.n) + ((a.id*7919 + j*104729 + a.t*1299709 + 42) % 1000003) % (((j + 1) * a.n) // LEAST(5, a.n) - (j * a.n) // LEAST(5, a.n)) WHERE j < a.n""").replace(
+    " SELECT a.t, a.id AS src", ", numbered AS (SELECT t, id, ROW_NUMBER() OVER (PARTITION BY t ORDER BY id) - 1 AS at, COUNT(*) OVER (PARTITION BY t) AS n FROM nodes) SELECT a.t, a.id AS src")
+
+
 @query("e", "nodes", last="SELECT t, src, dst, SUM(w) AS w FROM (SELECT * FROM e UNION ALL SELECT t, id, id, 1.0 FROM nodes) GROUP BY 1, 2, 3")
 def add_self_loops(spark, sf):
     p = sm(spark, sf)
@@ -269,15 +277,17 @@ def neighbor_features(spark, sf):
     return rounded(neighbours.neighbor_features(sm(spark, sf), symmetric_ring(spark, sf), ["f1", "f2"]))
 
 
-@query("near2", last=f"SELECT t, id, {_s('f1_h2 f2_h2')} FROM (SELECT t, id, f1 AS f1_h2, f2 AS f2_h2 FROM near2)")
+@query("near2", last=f"SELECT t, id, {_h('f1_h2 f2_h2')} FROM (SELECT t, id, f1 AS f1_h2, f2 AS f2_h2 FROM near2)")
 def propagate_hops(spark, sf):
-    return shifted(neighbours.propagate_hops(sm(spark, sf), symmetric_ring(spark, sf), ["f1", "f2"], 2)[-1])
+    return half_up(neighbours.propagate_hops(sm(spark, sf), symmetric_ring(spark, sf), ["f1", "f2"], 2)[-1])
 
 
-@query("near2", last=f"""SELECT t, id, {_s('f1 f2 f1_h1 f2_h1 f1_h2 f2_h2')} FROM (SELECT p.t, p.id, p.f1, p.f2, a.f1 AS f1_h1, a.f2 AS f2_h1, b.f1 AS f1_h2, b.f2 AS f2_h2
-    FROM panel p JOIN near a ON a.t = p.t AND a.id = p.id JOIN near2 b ON b.t = p.t AND b.id = p.id)""")
+@query("hop1", "hop2", last="SELECT p.t, p.id, " + ", ".join([f"ROUND(p.{f}, 6) AS {f}" for f in FACTORS] + [f"ROUND({n}.{f}, 6) AS {f}_{n}" for n in ("h1", "h2") for f in FACTORS]) + " FROM zr p JOIN hop1 h1 ON h1.t = p.t AND h1.id = p.id JOIN hop2 h2 ON h2.t = p.t AND h2.id = p.id")
 def graph_features(spark, sf):
-    return shifted(neighbours.graph_features(sm(spark, sf), symmetric_ring(spark, sf), ["f1", "f2"], 2))
+    """One and two hops of all factors on the factor graph."""
+    p = zr(spark, sf)
+    edges = stored(knn.factor_knn_graph(p, FACTORS, 10), "factor-graph")
+    return rounded(neighbours.graph_features(p, edges, FACTORS, 2))
 
 
 _OWN = "(0.5*{p}.f1 - 0.3*{p}.f2 + 0.2*{p}.f3 + 0.1*{p}.f4 - 0.2*{p}.f5)"
@@ -391,20 +401,21 @@ def fit_sgc(spark, sf):
     return rounded(out.where((F.col("part") == "test") & (F.col("model") == F.lit(best))).drop("part"))
 
 
-def _trees(spark, sf, kind, n):
-    data = panel.time_split(_zaligned(spark, sf), panel.periods(sm(spark, sf)) - 1)
-    model = regress.fit_trees(data.where("part = 'train'"), ["f1", "f4"], kind, trees=n)
+def _trees(spark, sf, kind):
+    """With the default numbers of trees, on all factors."""
+    data = stored(panel.time_split(panel.align_target(z(spark, sf), FACTORS), panel.periods(sm(spark, sf)) - 1), "trees")
+    model = regress.fit_trees(data.where("part = 'train'"), FACTORS, kind)
     return rounded(model.transform(data.where("part = 'test'")).select("t", "id", "y", "y_pred"))
 
 
 @query()
 def fit_random_forest(spark, sf):
-    return _trees(spark, sf, "forest", 20)
+    return _trees(spark, sf, "forest")
 
 
 @query()
 def fit_boosted_trees(spark, sf):
-    return _trees(spark, sf, "boosted", 20)
+    return _trees(spark, sf, "boosted")
 
 
 # -- metrics and portfolios --------------------------------------------------------
@@ -528,69 +539,104 @@ def incremental_r2(spark, sf):
     return rounded(diagnostics.incremental_r2(z(spark, sf), symmetric_ring(spark, sf), ["f1"]).select("t", "r2_base", "r2_full", "delta_r2"))
 
 
+@query()
+def incremental_r2_all(spark, sf):
+    """All factors and their neighbours on the factor graph against the next outcome, with and without an intercept."""
+    p = stored(panel.align_target(zr(spark, sf), FACTORS), "panel")
+    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, row_norm=False), "factor-graph")
+    each = [diagnostics.incremental_r2(p, edges, FACTORS, intercept=i).select(F.lit(i).alias("intercept"), "t", "r2_base", "r2_full", "delta_r2") for i in (True, False)]
+    return rounded(each[0].unionAll(each[1]))
+
+
 @query()
 def diagnostics_summary(spark, sf):
-    """A factor graph and the placebo graph, one row each."""
-    p = zr(spark, sf)
-    real = knn.factor_knn_graph(p, FACTORS[:4], 5, row_norm=False)
-    null = knn.random_null_graph(graph.nodes_of(p), 5)
-    return rounded(diagnostics.diagnostics_summary(p, real, ["f1", "f4"], "factor_knn").unionAll(diagnostics.diagnostics_summary(p, null, ["f1", "f4"], "placebo")))
+    """A factor graph and the placebo graph, one row each; the outcome is the next period's."""
+    p = stored(panel.align_target(zr(spark, sf), FACTORS), "panel")
+    real = stored(knn.factor_knn_graph(p, FACTORS, 10, row_norm=False), "factor-graph")
+    null = stored(knn.random_null_graph(graph.nodes_of(p), 10), "placebo")
+    return rounded(diagnostics.diagnostics_summary(p, real, FACTORS, "factor_knn").unionAll(diagnostics.diagnostics_summary(p, null, FACTORS, "placebo")))
 
 
 # -- jobs --------------------------------------------------------------------------
 
-@query()
+_SORTED = (["clean"], "SELECT 'self' AS model, a.t, a.id, b.y AS y_true, ROUND(a.f2 - a.f3, 9) AS y_pred FROM clean a JOIN clean b ON b.id = a.id AND b.t = a.t + 1")
+
+
+@query("summary", last=f"SELECT model, {_r(_ALL)} FROM summary", pred=_SORTED)
 def factor_sort_study(spark, sf):
     """Does sorting suppliers by last month's cleaned factors sort this month's outcome?"""
     cleaned = panel.preprocess_panel(sm(spark, sf), FACTORS)
-    scored = neighbours.self_score(cleaned, ["f2", "f3"], [1.0, -1.0])
+    scored = neighbours.self_score(cleaned, ["f2", "f3"], [1.0, -1.0]).withColumn("score", F.round("score", 9))
     data = panel.align_target(scored.join(cleaned.select("t", "id", "y"), ["t", "id"]), ["score"])
-    return rounded(compare.model_summary(data.select(F.lit("self").alias("model"), "t", "id", F.col("y").alias("y_true"), F.col("score").alias("y_pred"))))
+    pred = stored(data.select(F.lit("self").alias("model"), "t", "id", F.col("y").alias("y_true"), F.col("score").alias("y_pred")), "predictions")
+    return rounded(compare.model_summary(pred))
+
+
+def _cleaned(spark, sf) -> DataFrame:
+    return stored(panel.preprocess_panel(sm(spark, sf), FACTORS), "cleaned")
+
+
+def _own_graph(cleaned: DataFrame) -> DataFrame:
+    return stored(knn.factor_knn_graph(cleaned, FACTORS, 10, self_loop=True, gcn_norm=True), "factor-graph")
 
 
 @query()
 def run_experiment(spark, sf):
-    """Clean, graph, align, split, fit raw and graph models, score, compare: one row a model."""
-    cleaned = panel.preprocess_panel(sm(spark, sf), FACTORS)
-    edges = knn.factor_knn_graph(cleaned, FACTORS[:4], 5, self_loop=True, gcn_norm=True)
-    wide = neighbours.graph_features(cleaned, edges, FACTORS, 1).join(cleaned.select("t", "id", "y"), ["t", "id"])
-    total, out = panel.periods(cleaned) - 1, None
-    for name, columns in (("raw", FACTORS), ("graph", [*FACTORS, *[f"{f}_h1" for f in FACTORS]])):
-        data = panel.time_split(panel.align_target(wide, columns), total)
-        coef = regress.fit_ridge(data.where("part = 'train'"), columns)
-        done = regress.predict_linear(data.where("part = 'test'"), columns, coef).select(F.lit(name).alias("model"), "t", "id", F.col("y").alias("y_true"), "y_pred")
-        out = done if out is None else out.unionAll(done)
-    return rounded(compare.model_summary(out))
-
-
-@query("rbf", last="""SELECT g.k AS k_neighbors, r.t, r.src AS id, ROUND(SUM(r.w * p.f1)/SUM(r.w), 6) AS f1_near FROM rbf r JOIN (SELECT 3 AS k UNION ALL SELECT 5) g ON r.rank <= g.k JOIN zr p ON p.t = r.t AND p.id = r.dst GROUP BY 1, 2, 3""")
+    """Suppliers' own outcome and their factor graph: clean, graph, align, split, fit, score, compare; one row a model."""
+    cleaned = _cleaned(spark, sf)
+    return rounded(jobs.run_experiment(cleaned, _own_graph(cleaned), FACTORS, "factor_graph"))
+
+
+@query()
+def run_experiment_self_only(spark, sf):
+    """The outcome comes from the own factors of its period, so the graph should not help."""
+    cleaned = _cleaned(spark, sf)
+    own = stored(neighbours.self_score(cleaned, FACTORS, BETA_SELF).withColumnRenamed("score", "y").join(cleaned.drop("y"), ["t", "id"]), "self-only")
+    return rounded(jobs.run_experiment(own, _own_graph(cleaned), FACTORS, "self_only"))
+
+
+@query()
+def run_experiment_wrong_graph(spark, sf):
+    """The outcome has a part that the factors don't show, and the graph is the placebo."""
+    cleaned = _cleaned(spark, sf)
+    hidden = cleaned.select("t", "id", F.col("y").alias("h"))
+    scored = neighbours.hidden_score(cleaned, hidden, FACTORS, BETA_SELF, 10.0).withColumnRenamed("score", "y")
+    own = stored(scored.join(cleaned.drop("y"), ["t", "id"]), "hidden")
+    wrong = knn.random_null_graph(graph.nodes_of(own), 10)
+    edges = stored(graph.finished(wrong, graph.nodes_of(own), self_loop=True, gcn_norm=True), "placebo")
+    return rounded(jobs.run_experiment(own, edges, FACTORS, "wrong_graph"))
+
+
+@query()
 def sweep_k(spark, sf):
-    """One neighbour pass at the largest k; the grid is a column."""
-    p = zr(spark, sf)
-    near = knn.knn_topk(p, FACTORS[:4], 5).where("score > 0").withColumn("w", F.exp(-F.col("score")))
-    grid = spark.createDataFrame([(3,), (5,)], "k_neighbors int")
-    far = p.select("t", F.col("id").alias("dst"), "f1")
-    edges = near.join(F.broadcast(grid), F.col("rank") <= F.col("k_neighbors")).join(far, ["t", "dst"])
-    return rounded(edges.groupBy("k_neighbors", "t", F.col("src").alias("id")).agg((F.sum(F.col("w") * F.col("f1")) / F.sum("w")).alias("f1_near")))
+    """Raw and graph models for 3 to 20 neighbours, from one neighbour pass."""
+    return rounded(jobs.sweep_k(_cleaned(spark, sf), FACTORS, [3, 5, 10, 15, 20]))
+
 
+GAMMAS = [0.0, 0.2, 0.5, 0.8, 1.0]
+_SPREAD = (["z", "sym"], f"""SELECT CAST(g AS VARCHAR) AS model, a.t, a.id, b.y AS y_true, own + g * spread AS y_pred FROM (SELECT n.t, n.id, ANY_VALUE({_OWN.format(p='n')}) AS own, COALESCE(SUM(s.w * {_EXP.format(p='p')}), 0) AS spread
+    FROM z n LEFT JOIN sym s ON s.t = n.t AND s.src = n.id LEFT JOIN z p ON p.t = s.t AND p.id = s.dst GROUP BY 1, 2) a JOIN z b ON b.id = a.id AND b.t = a.t + 1 CROSS JOIN (SELECT UNNEST([0.0, 0.2, 0.5, 0.8, 1.0]::DOUBLE[]) AS g)""")
 
-@query("z", "sym", last=f"""SELECT g AS gamma, n.t, n.id, ROUND(ANY_VALUE({_OWN.format(p='n')}) + g*COALESCE(SUM(s.w * {_EXP.format(p='p')}), 0), 6) AS score FROM z n CROSS JOIN (SELECT 0.0::DOUBLE AS g UNION ALL SELECT 0.5 UNION ALL SELECT 1.0)
-    LEFT JOIN sym s ON s.t = n.t AND s.src = n.id LEFT JOIN z p ON p.t = s.t AND p.id = s.dst GROUP BY 1, 2, 3""")
+
+@query("errors", "ics", last="SELECT CAST(model AS DOUBLE) AS gamma, ROUND(r2, 6) AS r2, ROUND(mean_ic, 6) AS mean_ic FROM errors JOIN (SELECT model, AVG(ic) AS mean_ic FROM ics GROUP BY 1) i USING (model)", pred=_SPREAD)
 def sweep_gamma(spark, sf):
-    """The neighbour aggregation once; the grid of gammas is a column."""
-    p, grid = z(spark, sf), spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "gamma double")
-    own = p.select("t", "id", neighbours.dot(FACTORS, BETA_SELF).alias("own"), neighbours.dot(FACTORS, BETA_NEAR).alias("exposure"))
-    spread = neighbours.neighbor_features(own, symmetric_ring(spark, sf), ["exposure"], ["spread"])
-    both = own.join(spread, ["t", "id"]).crossJoin(F.broadcast(grid))
-    return rounded(both.select("gamma", "t", "id", (F.col("own") + F.col("gamma") * F.col("spread")).alias("score")))
+    """R2 and mean IC of the spillover score for each gamma; the neighbours are aggregated once."""
+    return rounded(jobs.sweep_gamma(z(spark, sf), symmetric_ring(spark, sf), FACTORS, BETA_SELF, BETA_NEAR, GAMMAS))
+
+
+@query("panel", "e", last="SELECT p.t, p.n_rows, COALESCE(g.n_edges, 0) AS n_edges, ROUND(p.mean_y, 6) AS mean_y FROM (SELECT t, COUNT(*) AS n_rows, AVG(y) AS mean_y FROM panel GROUP BY 1) p LEFT JOIN (SELECT t, COUNT(*) AS n_edges FROM e GROUP BY 1) g USING (t)")
+def save_panel_graph(spark, sf):
+    """Panel and edges written by period and read again: their rows in each period."""
+    p = sm(spark, sf)
+    path = panels.save_panel_graph(p, panels.ring(p), shared_path(spark, "panel-graph"))
+    back, edges = spark.read.parquet(f"{path}/panel"), spark.read.parquet(f"{path}/edges")
+    rows = back.groupBy("t").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y").alias("mean_y"))
+    return rounded(rows.join(edges.groupBy("t").agg(F.count(F.lit(1)).alias("n_edges")), "t", "left").select("t", "n_rows", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "mean_y"))
 
 
 @query("summary", last=f"SELECT model, {_r(_ALL)} FROM summary")
 def save_summary_csv(spark, sf):
     """Written as CSV and read again."""
-    from tempfile import mkdtemp
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + mkdtemp(prefix="tessera-")
     table = rounded(compare.model_summary(pred(spark, sf)))
-    path = panels.save_summary_csv(table, f"{folder}/summary-{uuid.uuid4().hex}")
+    path = panels.save_summary_csv(table, shared_path(spark, "summary"))
     return spark.read.schema(table.schema).option("header", True).csv(path)

@@ -56,15 +56,17 @@ def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # the grid is the definition of a balanced panel: every day for every user
     days = events.select("period").distinct()
-    grid = events.select("id").distinct().withColumn("_d", F.lit(1)).join(days.withColumn("_d", F.lit(1)), "_d").drop("_d")
+    # (the days are a calendar's length)
+    grid = events.select("id").distinct().crossJoin(F.broadcast(days))
     full = grid.join(cells, ["period", "id"], "left").withColumn("y", F.coalesce("total", F.lit(0.0)) / 1000)
     return with_period_number(full).select("t", "id", "f1", "f2", "f3", "y")
 
 
-def embedding_section(spark: SparkSession, sf_dir: str, dims: int = 64) -> tuple[DataFrame, list[str]]:
-    """One cross-section from ``embeddings``: a column for each dimension."""
-    names = [f"e{i}" for i in range(dims)]
+def embedding_section(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """One cross-section from ``embeddings``: a column for each dimension of its first row."""
     df = table(spark, sf_dir, "embeddings")
+    first = df.select(F.size("embedding").alias("n")).first()
+    names = [f"e{i}" for i in range(first["n"] if first else 1)]
     cols = [F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(names)]
     return df.select(F.lit(0).alias("t"), F.col("vec_id").alias("id"), F.col("label").alias("group_id"), *cols), names
 
