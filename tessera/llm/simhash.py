@@ -356,9 +356,9 @@ def _verified(pairs: DataFrame, points: DataFrame, size: int, similarity: float)
 
 
 def _pointed(classes: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(pid, class) after the links (x, y), y < x, between classes: each follows its least link, and that one's.
+    """(pid, class) after the links (x, y) from classes to those of their leaders: each follows its least link, and that one's.
 
-    A class may still be linked to a lower one; that costs comparisons, not results.
+    Classes that are linked may stay apart; that costs comparisons, not results.
     """
     least = links.groupBy("x").agg(F.min("y").alias("y"))
     down = least.toDF("y", "z")
@@ -370,19 +370,24 @@ def _pointed(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionAll(fresh), "classes")
 
 
-def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets at the similarity or above.
 
     ``points`` (pid, m, w, prefix, text) has one row for each set. Sets that are alike share
     a cell (``prefix``), and cells of equal membership are one. Places, sizes and signatures
     only drop pairs that cannot be alike, and the sets decide: at the first shingle that two
     sets share, no more than it and what follows can be shared; ``FAR`` bounds signatures. Each point is first held
-    against one leader, the closest of its cells, in ``rounds`` passes, and what that links
-    is one class; then all pairs of different classes in a cell are compared, so that a large
+    against two leaders of its cells, the closest and the greatest, in ``rounds`` passes, and what that links
+    is one class (a cell's leader is its point that meets most others: near copies are mostly
+    alike to what they were copied from, not to each other); then all pairs of different classes in a cell are compared, so that a large
     group of near copies is not paired with itself and no link between classes is lost.
     """
     chosen = _chosen_cells(points)
-    members = _members(points, chosen)
+    plain = _members(points, chosen)
+    sizes = plain.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    meets = plain.select("cell", "pid").join(sizes, "cell").groupBy("pid").agg(F.sum("n").alias("meets"))
+    members = stored(plain.join(meets, "pid"), "members")
+    dropped(plain)
     classes, links, spent = None, [], [chosen, members]
 
     def may(m: str, at: str, mb: str, at_b: str, w: str, wb: str) -> Column:
@@ -391,22 +396,24 @@ def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, ro
         return sized & (left >= (F.col(m) + F.col(mb)) * (similarity / (1 + similarity)) - 1e-9) & (_apart(w, wb) <= FAR)
 
     def classed() -> tuple[DataFrame, DataFrame]:
-        """The members with their classes, and the least class, with a member of it, of each cell that has several."""
+        """The members with their classes, and the least class and the leader of each cell that has several."""
         if classes is None:
             known = members.withColumn("class", F.col("pid"))
         else:
             known = stored(members.join(classes, "pid", "left").withColumn("class", F.coalesce("class", "pid")), "classed")
             spent.append(known)
-        least = known.groupBy("cell").agg(F.min("class").alias("of"), F.max("class").alias("last"), F.min_by("pid", "class").alias("lead"))
+        least = known.groupBy("cell").agg(F.min("class").alias("of"), F.max("class").alias("last"), F.max_by("pid", F.struct("meets", "pid")).alias("lead"))
         spent.append(stored(least.where("of < last").select("cell", "of", "lead"), "mixed-cells"))
         return known, spent[-1]
 
     for _ in range(rounds):
         known, mixed = classed()
-        leads = stored(mixed.join(known.select("cell", F.col("pid").alias("lead"), F.col("m").alias("mb"), F.col("at").alias("at_b"), F.col("w").alias("wb")), ["cell", "lead"]), "leads")
-        met = known.join(leads, "cell").where((F.col("class") != F.col("of")) & may("m", "at", "mb", "at_b", "w", "wb")).select(F.col("pid").alias("a"), F.col("class").alias("x"), _apart("w", "wb").alias("d"), F.col("lead").alias("b"), F.col("of").alias("y"))
+        leads = stored(mixed.join(known.select("cell", F.col("pid").alias("lead"), F.col("class").alias("y"), F.col("meets").alias("most"), F.col("m").alias("mb"), F.col("at").alias("at_b"), F.col("w").alias("wb")), ["cell", "lead"]), "leads")
+        met = known.join(leads, "cell").where((F.col("class") != F.col("y")) & may("m", "at", "mb", "at_b", "w", "wb")).select(F.col("pid").alias("a"), F.col("class").alias("x"), _apart("w", "wb").alias("d"), "most", F.col("lead").alias("b"), "y")
         spent.append(leads)
-        star = met.groupBy("a", "x").agg(F.min(F.struct("d", "b", "y")).alias("best")).select("a", "best.b", "x", "best.y")
+        best = [F.min(F.struct("d", "b", "y")).alias("near"), F.max(F.struct("most", "b", "y")).alias("main")]
+        ends = F.array_distinct(F.array(*[F.struct(F.col(f"{e}.b").alias("b"), F.col(f"{e}.y").alias("y")) for e in ("near", "main")]))
+        star = met.groupBy("a", "x").agg(*best).select("a", "x", F.explode(ends).alias("end")).select("a", "end.b", "x", "end.y")
         links.append(_verified(star, points, size, similarity))
         classes = _pointed(classes, links[-1])
     known, mixed = classed()
