@@ -122,7 +122,7 @@ def select_on_validation(losses: DataFrame) -> str | None:
     return best["model"] if best else None
 
 
-def fit_trees(train: DataFrame, factors: list[str], kind: str = "forest", target: str = "y", trees: int | None = None, seed: int = 42):
+def fit_trees(train: DataFrame, factors: list[str], kind: str = "forest", target: str = "y", trees: int | None = None, depth: int | None = None, seed: int = 42):
     """A random forest or boosted trees from Spark's own library, with the assembler before it."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
@@ -131,7 +131,7 @@ def fit_trees(train: DataFrame, factors: list[str], kind: str = "forest", target
     assembler = VectorAssembler(inputCols=factors, outputCol="_features")
     common = {"featuresCol": "_features", "labelCol": target, "predictionCol": "y_pred", "seed": seed}
     if kind == "forest":
-        model = RandomForestRegressor(numTrees=trees or 200, maxDepth=30, featureSubsetStrategy="all", **common)
+        model = RandomForestRegressor(numTrees=trees or 200, maxDepth=depth or 30, featureSubsetStrategy="all", **common)
     else:
-        model = GBTRegressor(maxIter=trees or 300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", **common)
+        model = GBTRegressor(maxIter=trees or 300, maxDepth=depth or 4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", **common)
     return Pipeline(stages=[assembler, model]).fit(train)
