@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import fingerprints, licenses, packing, pieces, pii, quality, secrets, sharding, simhash, tokens
+from tessera.llm import divergence, fingerprints, licenses, packing, phrases, pieces, pii, quality, secrets, sharding, simhash, token_files, tokens
 from tessera.llm.common import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -57,12 +57,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii, op2_token_counts, op3_licenses, op4_simhash, op5_sentencepiece, op6_packing, op7_quality, op8_fingerprints, op9_secrets, op10_sharding)
+    for f in (
+        op1_pii, op2_token_counts, op3_licenses, op4_simhash, op5_sentencepiece, op6_packing, op7_quality, op8_fingerprints, op9_secrets, op10_sharding,
+        op11_collocations, op12_token_files, op13_divergence,
+    )
 }
 
-#: None of the operators is plain SQL: xxHash, checksums, tokenizers and fitted
-#: models have no counterpart in the oracle's engine. Tests hold them against
-#: brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+#: The other operators are not plain SQL: xxHash, checksums, tokenizers and
+#: fitted models have no counterpart in the oracle's engine. Tests hold them
+#: against brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op11_collocations": phrases.oracle_sql(), "op13_divergence": divergence.oracle_sql()}
