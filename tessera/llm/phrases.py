@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,9 @@ HELD = 500_000
 #: Text positions that a task handles at once.
 POSITIONS = 2_000_000
 #: The filters' bits at most, and phrases of a trie at most (more: several tries, each with a pass of its own).
-FILTER_BITS, TRIE_PHRASES = 1 << 27, 1_000_000
+FILTER_BITS, TRIE_PHRASES = 1 << 27, 250_000
+#: So many frequent words are broadcast with their numbers; more are told by the filter.
+LISTED = 1_000_000
 #: An odd multiplier for hashes of phrases (2^64 over the golden ratio).
 MULTIPLIER = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 
@@ -83,8 +86,19 @@ def filter_of(tables: list[DataFrame]) -> Filter:
     return Filter(bits, cells)
 
 
-class Symbols(dict):
-    """Numbers of words, found when first met; forgotten when there are too many."""
+class Listed:
+    """Numbers of texts' words from a dictionary; 0 for other words and where a piece ends."""
+
+    def __init__(self, numbers: dict[bytes, int]):
+        self.get = numbers.get
+
+    def of(self, text: bytes) -> np.ndarray:
+        own = words(text)
+        return np.fromiter(map(self.get, own, repeat(0)), np.int64, len(own))
+
+
+class Found(dict):
+    """Numbers of texts' words, found when first met and forgotten when there are too many."""
 
     def __init__(self, number: Callable[[bytes], int]):
         super().__init__()
@@ -96,21 +110,20 @@ class Symbols(dict):
         return found
 
     def of(self, text: bytes) -> np.ndarray:
-        """The text's numbers, and a 0 after it."""
         own = words(text)
         if len(self) > HELD:
             self.clear()
             self[BREAK] = 0
-        return np.fromiter(map(self.__getitem__, own), np.int64, len(own)) if own else np.zeros(0, np.int64)
+        return np.fromiter(map(self.__getitem__, own), np.int64, len(own))
 
 
 def _texts(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def _positions(batches: Iterator, symbols: Callable[[str], Symbols]) -> Iterator[tuple[str, np.ndarray]]:
+def _positions(batches: Iterator, symbols: Callable[[str], Listed | Found]) -> Iterator[tuple[str, np.ndarray]]:
     """(language, numbers of many texts' words, 0 between texts), about POSITIONS of them at once."""
-    known: dict[str, Symbols] = {}
+    known: dict[str, Listed | Found] = {}
     held: dict[str, list[np.ndarray]] = {}
     sizes: Counter = Counter()
     gap = np.zeros(1, np.int64)
@@ -177,19 +190,24 @@ def level(texts: DataFrame, length: int, levels: list[DataFrame], least: int) ->
     words passed the filter of the levels before.
     """
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(filter_of(levels))
+    listed: dict[str, dict[bytes, int]] | None = None
+    if levels[0].count() <= LISTED:
+        listed = {}
+        for r in levels[0].select("lang", "phrase", "h").toLocalIterator():
+            listed.setdefault(r["lang"], {})[r["phrase"].encode()] = r["h"]
+    shared = spark.sparkContext.broadcast((filter_of(levels), listed))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        frequent = shared.value
+        frequent, listed = shared.value
 
-        def symbols(lang: str) -> Symbols:
+        def symbols(lang: str) -> Listed | Found:
             def number(word: bytes) -> int:
                 h = word_hash(lang, word)
                 return h if frequent.passes(np.array([h]))[0] else 0
 
-            return Symbols(number)
+            return Found(number) if listed is None else Listed(listed.get(lang, {}))
 
         for lang, sym in _positions(batches, symbols):
             first = np.flatnonzero(sym)  # where a phrase of the length so far begins, and its hash
@@ -315,7 +333,7 @@ def trie_counts(texts: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
 
         trie, states, _ = shared.value
         total = np.zeros(len(trie.check), np.int64)
-        for _, sym in _positions(batches, lambda lang: Symbols(lambda word, own=trie.words.get(lang, {}): own.get(word, 0))):
+        for _, sym in _positions(batches, lambda lang: Listed(trie.words.get(lang, {}))):
             trie.counts(sym, total)
         own = total[states]
         place = np.flatnonzero(own)

@@ -64,8 +64,9 @@ def brute_collocations(rows, least, longest, top, share):
     return sorted((lang, i, p.decode(), -a, left, right, n[lang], -s) for lang, own in found.items() for i, (s, a, p, left, right) in enumerate(sorted(own)[:top], 1))
 
 
-@pytest.mark.parametrize("least,top,share,trie_phrases", [(4, 2000, 100, 10**6), (3, 25, 80, 700)])
-def test_collocations(docs, rows, least, top, share, trie_phrases):
+@pytest.mark.parametrize("least,top,share,trie_phrases,listed", [(4, 2000, 100, 10**6, 10**6), (3, 25, 80, 700, 0)])
+def test_collocations(docs, rows, least, top, share, trie_phrases, listed, monkeypatch):
+    monkeypatch.setattr(phrases, "LISTED", listed)
     got = phrases.collocations(docs, least=least, top=top, share=share, trie_phrases=trie_phrases)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     want = brute_collocations(rows, least, 5, top, share)
