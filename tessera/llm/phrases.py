@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, tasks
 
 BREAK = b"\xff"  # in no UTF-8 text
 #: A-Z in lower case, the ends of pieces as BREAK.
@@ -35,6 +35,8 @@ HELD = 500_000
 POSITIONS = 2_000_000
 #: The filters' bits at most, and phrases of a trie at most (more: several tries, each with a pass of its own).
 FILTER_BITS, TRIE_PHRASES = 1 << 27, 250_000
+#: States whose counts make one array.
+SLICE = 256
 #: So many frequent words are broadcast with their numbers; more are told by the filter.
 LISTED = 1_000_000
 #: An odd multiplier for hashes of phrases (2^64 over the golden ratio).
@@ -320,13 +322,18 @@ class Trie:
 
 
 def trie_counts(texts: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
-    """(lang, phrase, a): how often each of the phrases occurs."""
+    """(lang, phrase, a): how often each of the phrases occurs.
+
+    A task hands on its counts as a few arrays (SLICE states each) and the tasks'
+    arrays are added as they stream by, so there is no row for each phrase and task.
+    """
+    spark = texts.sparkSession
     trie = Trie(phrases)
     listed = sorted(trie.phrase.items())
     states = np.array([s for s, _ in listed], np.int64)
     named = [phrases[i] for _, i in listed]
     trie.phrase = {}
-    shared = texts.sparkSession.sparkContext.broadcast((trie, states, named))
+    shared = spark.sparkContext.broadcast((trie, states, named))
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -336,17 +343,23 @@ def trie_counts(texts: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
         for _, sym in _positions(batches, lambda lang: Listed(trie.words.get(lang, {}))):
             trie.counts(sym, total)
         own = total[states]
-        place = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(own[place])], names=["place", "n"])
+        cuts = [lo for lo in range(0, len(own), SLICE) if own[lo : lo + SLICE].any()]
+        yield pa.RecordBatch.from_pydict({"slice": pa.array([lo // SLICE for lo in cuts], pa.int64()), "counts": pa.array([own[lo : lo + SLICE].tobytes() for lo in cuts], pa.binary())})
 
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        named = shared.value[2]
-        for b in batches:
-            own = [named[i] for i in b["place"]]
-            yield pd.DataFrame({"lang": [x[0] for x in own], "phrase": [x[1] for x in own], "a": b["a"]})
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    summed = texts.mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("a"))
-    return summed.mapInPandas(name, "lang string, phrase string, a long")
+        named, sums = shared.value[2], {}
+        for batch in batches:
+            for at, counts in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = np.frombuffer(counts, np.int64)
+                sums[at] = sums[at] + own if at in sums else own
+        for at, own in sums.items():
+            langs, listed = zip(*named[at * SLICE : at * SLICE + len(own)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array(listed), pa.array(own)], names=["lang", "phrase", "a"])
+
+    shards = texts.mapInArrow(count, "slice long, counts binary")
+    return shards.repartition(tasks(spark), "slice").mapInArrow(add, "lang string, phrase string, a long")
 
 
 def collocations(
