@@ -65,7 +65,7 @@ def sweep_k(cleaned: DataFrame, factors: list[str], ks: list[int], tau: float =
     every graph step, sum and metric runs once for all of it.
     """
     total, n = panel.periods(cleaned), len(ks)
-    near = stored(knn.rbf_edges(knn.knn_topk(cleaned, factors, max(ks)), tau, keep_rank=True), "neighbours")
+    near = stored(knn.rbf_edges(knn.knn_topk(cleaned, factors, max(ks), short="all"), tau, keep_rank=True), "neighbours")
     grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(ks)]))
     period = F.col("g.i") * total + F.col("t")
     edges = near.withColumn("g", grid).where(F.col("rank") <= F.col("g.k")).select(period.alias("t"), "src", "dst", "w")

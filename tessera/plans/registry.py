@@ -167,12 +167,12 @@ def pairwise_euclidean(spark, sf):
 
 @query("knn", last="SELECT t, src, dst, ROUND(score, 6) AS score, CAST(rank AS INT) AS rank FROM knn")
 def knn_topk(spark, sf):
-    return rounded(knn.knn_topk(zr(spark, sf), FACTORS, 10))
+    return rounded(knn.knn_topk(zr(spark, sf), FACTORS, 10, short="all"))
 
 
 @query("factor_graph", last="SELECT t, src, dst, ROUND(w, 6) AS w FROM factor_graph")
 def factor_knn_graph(spark, sf):
-    return rounded(knn.factor_knn_graph(zr(spark, sf), FACTORS, 10))
+    return rounded(knn.factor_knn_graph(zr(spark, sf), FACTORS, 10, short="all"))
 
 
 @query(last="""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / SQRT(list_dot_product(v, v))) AS v FROM v),
@@ -286,7 +286,7 @@ def propagate_hops(spark, sf):
 def graph_features(spark, sf):
     """One and two hops of all factors on the factor graph."""
     p = zr(spark, sf)
-    edges = stored(knn.factor_knn_graph(p, FACTORS, 10), "factor-graph")
+    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all"), "factor-graph")
     return rounded(neighbours.graph_features(p, edges, FACTORS, 2))
 
 
@@ -543,7 +543,7 @@ def incremental_r2(spark, sf):
 def incremental_r2_all(spark, sf):
     """All factors and their neighbours on the factor graph against the next outcome, with and without an intercept."""
     p = stored(panel.align_target(zr(spark, sf), FACTORS), "panel")
-    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, row_norm=False), "factor-graph")
+    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all", row_norm=False), "factor-graph")
     each = [diagnostics.incremental_r2(p, edges, FACTORS, intercept=i).select(F.lit(i).alias("intercept"), "t", "r2_base", "r2_full", "delta_r2") for i in (True, False)]
     return rounded(each[0].unionAll(each[1]))
 
@@ -552,7 +552,7 @@ def incremental_r2_all(spark, sf):
 def diagnostics_summary(spark, sf):
     """A factor graph and the placebo graph, one row each; the outcome is the next period's."""
     p = stored(panel.align_target(zr(spark, sf), FACTORS), "panel")
-    real = stored(knn.factor_knn_graph(p, FACTORS, 10, row_norm=False), "factor-graph")
+    real = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all", row_norm=False), "factor-graph")
     null = stored(knn.random_null_graph(graph.nodes_of(p), 10), "placebo")
     return rounded(diagnostics.diagnostics_summary(p, real, FACTORS, "factor_knn").unionAll(diagnostics.diagnostics_summary(p, null, FACTORS, "placebo")))
 
@@ -577,7 +577,7 @@ def _cleaned(spark, sf) -> DataFrame:
 
 
 def _own_graph(cleaned: DataFrame) -> DataFrame:
-    return stored(knn.factor_knn_graph(cleaned, FACTORS, 10, self_loop=True, gcn_norm=True), "factor-graph")
+    return stored(knn.factor_knn_graph(cleaned, FACTORS, 10, short="all", self_loop=True, gcn_norm=True), "factor-graph")
 
 
 @query()
