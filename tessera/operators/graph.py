@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import or_one
@@ -33,22 +33,30 @@ def _row_sums(edges: DataFrame) -> DataFrame:
     return edges.groupBy("t", "src").agg(F.sum("w").alias("d"))
 
 
+def _with_row_sums(edges: DataFrame) -> DataFrame:
+    """Adds d, the sum of the source's row. A window reads the edges once, where a join with the sums would compute them twice."""
+    return edges.withColumn("d", F.sum("w").over(Window.partitionBy("t", "src")))
+
+
 def row_normalize(edges: DataFrame) -> DataFrame:
-    return edges.join(_row_sums(edges), ["t", "src"]).select(*KEY, (F.col("w") / or_one(F.col("d"))).alias("w"))
+    return _with_row_sums(edges.select(*KEY, "w")).select(*KEY, (F.col("w") / or_one(F.col("d"))).alias("w"))
 
 
 def gcn_normalize(edges: DataFrame) -> DataFrame:
     """w / sqrt(d_src * d_dst), row sums at both ends."""
-    sums = _row_sums(edges)
-    far = sums.select("t", F.col("src").alias("dst"), F.col("d").alias("e"))
-    both = edges.join(sums, ["t", "src"]).join(far, ["t", "dst"], "left")
+    far = _row_sums(edges).select("t", F.col("src").alias("dst"), F.col("d").alias("e"))
+    both = _with_row_sums(edges.select(*KEY, "w")).join(far, ["t", "dst"], "left")
     return both.select(*KEY, (F.col("w") / F.sqrt(or_one(F.col("d")) * or_one(F.coalesce("e", F.lit(0.0))))).alias("w"))
 
 
 def symmetrize(edges: DataFrame, method: str = "mean") -> DataFrame:
-    """The mean, or the greater, of both directions; a missing direction is 0."""
-    both = edges.select(*KEY, "w").unionAll(edges.select("t", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    groups = both.groupBy(*KEY)
+    """The mean, or the greater, of both directions; a missing direction is 0.
+
+    Both directions come from one scan, dealt by source, so that sums of a source's row need no other shuffle.
+    """
+    ends = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
+    both = edges.select("t", F.explode(ends).alias("e"), "w").select("t", F.col("e.a").alias("src"), F.col("e.b").alias("dst"), "w")
+    groups = both.repartition("t", "src").groupBy(*KEY)
     if method == "mean":
         return groups.agg((F.sum("w") / 2).alias("w"))
     if method != "max":
