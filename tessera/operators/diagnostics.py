@@ -21,7 +21,7 @@ def _ends(values: DataFrame, edges: DataFrame, column: str) -> DataFrame:
 def morans_i(values: DataFrame, edges: DataFrame, column: str = "y") -> DataFrame:
     """(t, moran_i) = N / sum w * sum w z z' / sum z^2; 0 where a denominator vanishes."""
     stats = values.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("m"), (F.var_pop(column) * F.count(F.lit(1))).alias("zz"))
-    centred = values.join(stats.select("t", "m"), "t").select("t", "id", (F.col(column) - F.col("m")).alias("z"))
+    centred = values.join(F.broadcast(stats.select("t", "m")), "t").select("t", "id", (F.col(column) - F.col("m")).alias("z"))
     cross = _ends(centred, edges, "z").groupBy("t").agg(F.sum("w").alias("ww"), F.sum(F.col("w") * F.col("a") * F.col("b")).alias("zwz"))
     joined = stats.join(cross, "t", "left")
     value = F.when((F.abs("ww") >= 1e-12) & (F.col("zz") >= 1e-12), F.col("n") / F.when(F.abs("ww") >= 1e-12, F.col("ww")) * F.col("zwz") / F.when(F.col("zz") >= 1e-12, F.col("zz")))

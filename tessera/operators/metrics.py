@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import correlation, ratio_or_zero
+from tessera.operators.ranks import average_ranks
 
 
 def pooled_errors(pred: DataFrame) -> DataFrame:
@@ -24,9 +25,7 @@ def ic(pred: DataFrame, x: str = "y_true", y: str = "y_pred") -> DataFrame:
 
 def with_average_rank(df: DataFrame, column: str, name: str, keys: list[str]) -> DataFrame:
     """1-based ranks; equal values share the mean of their places."""
-    order = Window.partitionBy(*keys).orderBy(column)
-    same = Window.partitionBy(*keys, column)
-    return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / F.lit(2.0))
+    return average_ranks(df, column, name, keys)
 
 
 def rank_ic(pred: DataFrame) -> DataFrame:

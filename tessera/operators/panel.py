@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import missing, or_one
+from tessera.operators.ranks import positions
 
 _MAX = 1.7976931348623157e308
 
@@ -39,14 +40,9 @@ def align_target(panel: DataFrame, factors: list[str], lag: int = 1, target: str
 
 
 def flatten_panel(panel: DataFrame, factors: list[str], target: str = "y") -> DataFrame:
-    """The rows as a learner takes them: ``row`` numbers them by period, then entity, from 0; then the factors and the target.
-
-    A period's entities are numbered by themselves and shifted by the sizes of the periods before.
-    """
-    sizes = panel.groupBy("t").agg(F.count(F.lit(1)).alias("_size"))  # one row a period
-    before = sizes.select("t", F.coalesce(F.sum("_size").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = panel.withColumn("_at", F.row_number().over(Window.partitionBy("t").orderBy("id")) - 1)
-    return inside.join(F.broadcast(before), "t").select((F.col("_at") + F.col("_before")).cast("long").alias("row"), *factors, target)
+    """The rows as a learner takes them: ``row`` numbers them by period, then entity, from 0; then the factors and the target."""
+    whole = positions(panel.select("t", "id", *factors, target).withColumn("_all", F.lit(0)), ["_all"], ["t", "id"])
+    return whole.select(F.col("rank0").cast("long").alias("row"), *factors, target)
 
 
 def raw_dataset(panel: DataFrame, factors: list[str], lag: int = 1, flatten: bool = True, target: str = "y") -> DataFrame:
@@ -104,9 +100,9 @@ def _moments(factors: list[str]) -> list:
 def zscore_cs(panel: DataFrame, factors: list[str]) -> DataFrame:
     """Per period: (x - mean) / population deviation; a deviation near 0 counts as 1.
 
-    The statistics are one row for each period and are joined back, so no task holds a period.
+    The statistics are one row for each period (a calendar's length) and are broadcast, so no task holds a period.
     """
-    return _scaled(panel.join(panel.groupBy("t").agg(*_moments(factors)), "t"), factors, panel.columns)
+    return _scaled(panel.join(F.broadcast(panel.groupBy("t").agg(*_moments(factors))), "t"), factors, panel.columns)
 
 
 def zscore_global(panel: DataFrame, factors: list[str]) -> DataFrame:
@@ -119,7 +115,7 @@ def winsorize_cs(panel: DataFrame, factors: list[str], lower: float = 0.01, uppe
         raise ValueError("quantiles must satisfy 0 <= lower < upper <= 1")
     name = "percentile_approx" if approximate else "percentile"
     limits = panel.groupBy("t").agg(*[F.expr(f"{name}(nanvl({f}, null), array({lower}D, {upper}D))").alias(f"_q_{f}") for f in factors])
-    both = panel.join(limits, "t")
+    both = panel.join(F.broadcast(limits), "t")
     return both.withColumns({f: F.least(F.greatest(F.col(f), F.col(f"_q_{f}")[0]), F.col(f"_q_{f}")[1]) for f in factors}).select(panel.columns)
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import ratio_or_zero
+from tessera.operators.ranks import positions
 
 _KEYS = ("model", "t")
 
 
 def with_ranks(pred: DataFrame) -> DataFrame:
-    """Adds the 0-based rank by score (ties by id) and the period's size, from one window."""
-    group = Window.partitionBy(*_KEYS)
-    return pred.withColumns({"rank0": F.row_number().over(group.orderBy("y_pred", "id")) - 1, "size": F.count(F.lit(1)).over(group)})
+    """Adds the 0-based rank by score (ties by id) and the period's size; a table that has them stays."""
+    return pred if {"rank0", "size"} <= set(pred.columns) else positions(pred, list(_KEYS), ["y_pred", "id"])
 
 
 def quantile_bins(pred: DataFrame, bins: int = 5) -> DataFrame:
@@ -54,7 +54,8 @@ def cumulative_returns(series: DataFrame, column: str = "ls") -> DataFrame:
 
 
 def evaluate_portfolio(pred: DataFrame, bins: int = 5) -> DataFrame:
-    """One row a model: mean_ls_return, ls_sharpe and group_1_ret .. group_B_ret."""
+    """One row a model: mean_ls_return, ls_sharpe and group_1_ret .. group_B_ret; the scores are ranked once."""
+    pred = with_ranks(pred)
     groups = mean_group_returns(pred, bins).groupBy("model").pivot("bin", list(range(bins))).agg(F.first("ret"))
     names = groups.select("model", *[F.col(str(b)).alias(f"group_{b + 1}_ret") for b in range(bins)])
     return sharpe(long_short(pred)).join(names, "model")
