@@ -1,14 +1,26 @@
-"""Neighbour aggregation over edge tables, and graph convolutions built on it."""
+"""Neighbour aggregation over edge tables, and graph convolutions built on it.
+
+Edges without a column ``t`` are one graph for all periods (``static``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import static
+
+
+def _periods(panel: DataFrame) -> int:
+    last = panel.agg(F.max("t").alias("t")).first()["t"]
+    return 1 if last is None else last + 1
+
 
 def neighbor_features(panel: DataFrame, edges: DataFrame, columns: list[str], names: list[str] | None = None) -> DataFrame:
     """(t, id, ...): the weighted sum of the neighbours' columns; 0 for nodes without edges."""
     names = names or columns
+    if "t" not in edges.columns:
+        return static.rows_of(static.hops_of(panel, edges, columns, 1, _periods(panel))[0], names)
     far = panel.select("t", F.col("id").alias("dst"), *columns)
     sums = edges.join(far, ["t", "dst"]).groupBy("t", F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
     nodes = panel.select("t", "id")
@@ -19,6 +31,9 @@ def propagate_hops(panel: DataFrame, edges: DataFrame, factors: list[str], hops:
     """One table for each hop, columns ``f_h1``, ``f_h2``, ..."""
     if hops < 1:
         raise ValueError("hops must be at least 1")
+    if "t" not in edges.columns:
+        found = static.hops_of(panel, edges, factors, hops, _periods(panel))
+        return [static.rows_of(v, [f"{f}_h{h}" for f in factors]) for h, v in enumerate(found, 1)]
     out, columns, current = [], factors, panel
     for h in range(1, hops + 1):
         names = [f"{f}_h{h}" for f in factors]

@@ -329,6 +329,25 @@ def spillover_score(spark, sf):
     return rounded(neighbours.spillover_score(z(spark, sf), symmetric_ring(spark, sf), FACTORS, BETA_SELF, BETA_NEAR, 0.8))
 
 
+_NATION = ([], "SELECT a.s_suppkey AS src, b.s_suppkey AS dst, 1.0::DOUBLE / (b.s_suppkey - a.s_suppkey) AS w FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND b.s_suppkey BETWEEN a.s_suppkey + 1 AND a.s_suppkey + 30")
+
+
+@query("z", "nation_edges", last=f"SELECT n.t, n.id, {_spill('0.8')} FROM z n LEFT JOIN nation_edges s ON s.src = n.id LEFT JOIN z p ON p.t = n.t AND p.id = s.dst GROUP BY 1, 2", nation_edges=_NATION)
+def spillover_score_static(spark, sf):
+    """The spillover over one graph for all periods."""
+    return rounded(neighbours.spillover_score(z(spark, sf), panels.nation_graph(spark, sf), FACTORS, BETA_SELF, BETA_NEAR, 0.8))
+
+
+def _static_hop(of: str) -> str:
+    return f"SELECT n.t, n.id, COALESCE(SUM(s.w * p.f1), 0) AS f1, COALESCE(SUM(s.w * p.f2), 0) AS f2 FROM {of} n LEFT JOIN nation_edges s ON s.src = n.id LEFT JOIN {of} p ON p.t = n.t AND p.id = s.dst GROUP BY 1, 2"
+
+
+@query("z", "nation_edges", "one", "two", last="SELECT t, id, ROUND(f1, 6) AS f1_h2, ROUND(f2, 6) AS f2_h2 FROM two", nation_edges=_NATION, one=(["z", "nation_edges"], _static_hop("z")), two=(["one"], _static_hop("one")))
+def propagate_hops_static(spark, sf):
+    """Two hops over one graph for all periods, whose edges are dealt once."""
+    return rounded(neighbours.propagate_hops(z(spark, sf), panels.nation_graph(spark, sf), ["f1", "f2"], 2)[-1])
+
+
 @query("z", last=f"SELECT t, id, ROUND({_OWN.format(p='z')} + y, 6) AS score FROM z")
 def hidden_score(spark, sf):
     p = z(spark, sf)

@@ -90,6 +90,14 @@ def ring(panel: DataFrame) -> DataFrame:
     return linked.where("dst is not null").withColumn("w", F.lit(1.0))
 
 
+def nation_graph(spark: SparkSession, sf_dir: str, reach: int = 30) -> DataFrame:
+    """One graph for all periods (src, dst, w): suppliers of a nation whose numbers are d <= ``reach`` apart, weight 1 / d, from the lower to the higher."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    steps = own.select(F.col("id").alias("src"), "nation", F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("d"))
+    far = own.select(F.col("id").alias("dst"), "nation")
+    return steps.withColumn("dst", F.col("src") + F.col("d")).join(far, ["dst", "nation"]).select("src", "dst", (F.lit(1.0) / F.col("d")).alias("w"))
+
+
 def save_summary_csv(df: DataFrame, path: str) -> str:
     """Writes a small result table as one CSV with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
