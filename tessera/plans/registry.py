@@ -178,13 +178,13 @@ def factor_knn_graph(spark, sf):
 @query(last="""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / SQRT(list_dot_product(v, v))) AS v FROM v),
     s AS (SELECT a.id AS src, b.id AS dst, list_dot_product(a.v, b.v) AS score FROM u a JOIN u b ON a.id <> b.id),
     k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s)
-    SELECT 0 AS t, src, dst, ROUND(LEAST(score, 1), 6) AS w FROM k WHERE rank <= 5 AND score > 0""")
+    SELECT 0 AS t, src, dst, ROUND(LEAST(score, 1), 6) AS w FROM k WHERE rank <= 10 AND score > 0""")
 def factor_cosine_graph(spark, sf):
     points, names = panels.embedding_section(spark, sf)
-    return rounded(knn.factor_cosine_graph(points, names, 5, symmetric=False, row_norm=False))
+    return rounded(knn.factor_cosine_graph(points, names, 10, symmetric=False, row_norm=False))
 
 
-_CORR = """WITH {ctes}, w AS (SELECT a.t, a.id, b.t AS s, b.y FROM grid a JOIN grid b ON b.id = a.id AND b.t BETWEEN a.t - 4 AND a.t), c AS (SELECT t, id, s, y - AVG(y) OVER (PARTITION BY t, id) AS y FROM w),
+_CORR = """WITH {ctes}, w AS (SELECT a.t, a.id, b.t AS s, b.y FROM grid a JOIN grid b ON b.id = a.id AND b.t BETWEEN a.t - 11 AND a.t), c AS (SELECT t, id, s, y - AVG(y) OVER (PARTITION BY t, id) AS y FROM w),
     n AS (SELECT t, id, SQRT(SUM(y*y)) AS n FROM c GROUP BY 1, 2),
     s AS (SELECT a.t, a.id AS src, b.id AS dst, ROUND(SUM(a.y * b.y)/(CASE WHEN ANY_VALUE(na.n) < 1e-12 THEN 1 ELSE ANY_VALUE(na.n) END * CASE WHEN ANY_VALUE(nb.n) < 1e-12 THEN 1 ELSE ANY_VALUE(nb.n) END), 9) AS score
       FROM c a JOIN c b ON a.t = b.t AND a.s = b.s AND a.id <> b.id JOIN n na ON na.t = a.t AND na.id = a.id JOIN n nb ON nb.t = b.t AND nb.id = b.id GROUP BY 1, 2, 3)"""
@@ -196,15 +196,15 @@ def _grid_ctes() -> str:
 
 @query()
 def return_corr_knn(spark, sf):
-    return rounded(knn.return_corr_graph(ud(spark, sf), 5, 3, digits=9, symmetric=False, row_norm=False))
+    return rounded(knn.return_corr_graph(ud(spark, sf), 12, 10, digits=9, symmetric=False, row_norm=False))
 
 
-ORACLE_SQL["return_corr_knn"] = _CORR.format(ctes=_grid_ctes()) + ", k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY t, src ORDER BY score DESC, dst) AS rank FROM s) SELECT t, src, dst, ROUND(LEAST(score, 1), 6) AS w FROM k WHERE rank <= 3 AND score > 0"
+ORACLE_SQL["return_corr_knn"] = _CORR.format(ctes=_grid_ctes()) + ", k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY t, src ORDER BY score DESC, dst) AS rank FROM s) SELECT t, src, dst, ROUND(LEAST(score, 1), 6) AS w FROM k WHERE rank <= 10 AND score > 0"
 
 
 @query()
 def return_corr_threshold(spark, sf):
-    return rounded(knn.return_corr_graph(ud(spark, sf), 5, None, 0.9, digits=9, symmetric=False, row_norm=False))
+    return rounded(knn.return_corr_graph(ud(spark, sf), 12, None, 0.9, digits=9, symmetric=False, row_norm=False))
 
 
 ORACLE_SQL["return_corr_threshold"] = _CORR.format(ctes=_grid_ctes()) + " SELECT t, src, dst, ROUND(LEAST(score, 1), 6) AS w FROM s WHERE score >= 0.9 AND score > 0"
