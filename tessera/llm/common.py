@@ -50,6 +50,11 @@ def dropped(*tables: DataFrame) -> None:
                 folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def quoted(column: str) -> Column:
+    """A column by its name as it is, with dots, blanks or backticks."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, a null one as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

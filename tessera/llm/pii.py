@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, whole_text
+from tessera.llm.common import quoted, stored, whole_text
 
 #: The kinds in their order, and their patterns. Possessive repeats
 #: and look-behinds only save backtracking; they match what the plain forms match.
@@ -157,7 +157,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, keep: list[str]) -> Dat
     The kept columns are in one, ``row``, so that their names meet no others.
     """
     text, base = F.col("_text"), F.col("_base")
-    kept = F.struct(*keep) if keep else F.struct(F.lit(None).alias("none"))
+    kept = F.struct(*map(quoted, keep)) if keep else F.struct(F.lit(None).alias("none"))
     rows = docs.select(kept.alias("row"), F.col(id_col).cast("long").alias("_doc"), whole_text(text_col).alias("_text")).withColumn("_base", base_spans(text))
     hidden = lambda _, n: F.repeat(F.lit(_TAKEN), n)
     rest = _filled(text, base, hidden, hidden)

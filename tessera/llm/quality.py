@@ -15,6 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tessera.llm.common import quoted
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -56,8 +59,8 @@ def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFram
     """``keep`` and the statistics of every whole text (null: empty)."""
     fields = [f for f in docs.schema.fields if f.name in keep]
     rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [STATS])
     names = [s.split()[0] for s in STATS.split(", ")]
+    schema = StructType([*fields, *(StructField(n, LongType()) for n in names)])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -195,5 +198,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """The rows of ``docs`` that the rules keep, with their columns; see ``assess``."""
     rules = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
     # the row is one column, so that its names meet no others
-    judged = with_statistics(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("body")), "body", ["row"])
+    judged = with_statistics(docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col(text_col).alias("body")), "body", ["row"])
     return judged.where(~base_failed() & verdict(rules)).select("row.*")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, stored
+from tessera.llm.common import dropped, quoted, stored
 from tessera.llm.components import components
 
 #: Cells with more points than this are linked through meeting points.
@@ -451,6 +451,6 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     # the texts are dealt once by this key, for the join and for the repeated rows
     kept = stored(kept.select(F.xxhash64("key.doc_id", "key.h").alias("k"), F.col("key.doc_id").alias("kept_id"), F.col("key.h").alias("kept_h")), "kept")
     dropped(points)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text_hash.alias("h")).withColumn("k", F.xxhash64("id", "h"))
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), text_hash.alias("h")).withColumn("k", F.xxhash64("id", "h"))
     chosen = rows.join(kept, (rows["k"] == kept["k"]) & F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")), "left_semi")
     return chosen.dropDuplicates(["k", "id", "h"]).select("row.*")

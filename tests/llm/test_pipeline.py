@@ -117,11 +117,11 @@ def test_one_of_each_is_exact_at_the_limit(spark):
     assert got == {top(x) for x in range(len(texts))}
 
 
-def test_one_of_each_keeps_columns_of_any_name(spark):
-    names = ["_id", "_key", "_text_hash", "pid", "k", "h", "id", "row", "w", "m", "prefix", "cell", "_doc", "_text", "n_words", "text_was_null", "_spans", "_base"]
+def test_one_of_each_keeps_columns_of_any_name(spark, tmp_path):
+    names = ["_id", "_key", "_text_hash", "pid", "k", "h", "id", "row", "w", "m", "prefix", "cell", "_doc", "_text", "n_words", "text_was_null", "_spans", "_base", "a.b", "a b", "t`k", "a,b", "row.text", "ünï"]
     text = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(i, t, 5) for i, t in enumerate([text, text, text + " more", "other " * 60, None])], "doc_id long, text string, n_chars int")
-    df = df.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    df = df.selectExpr("*", *[f"'{n}' AS `{n.replace('`', '``')}`" for n in names])
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     from tessera.llm import quality
 
@@ -132,6 +132,9 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
     masked = corpus_pipeline.personal_data(spark, df, "")
     assert masked.columns == df.columns and masked.count() == 5
     assert {r[n] for r in single.collect() for n in names} == set(names)
+    for i, stage in enumerate((kept, single, masked)):
+        stage.write.parquet(f"{tmp_path}/{i}")
+        assert spark.read.parquet(f"{tmp_path}/{i}").columns == df.columns
 
 
 def test_components(spark):
