@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import missing, or_one
+from tessera.functions.tables import stored
+from tessera.operators.quantiles import exact_quantiles
 from tessera.operators.ranks import positions
 
 _MAX = 1.7976931348623157e308
@@ -109,13 +111,24 @@ def zscore_global(panel: DataFrame, factors: list[str]) -> DataFrame:
     return _scaled(panel.crossJoin(F.broadcast(panel.agg(*_moments(factors)))), factors, panel.columns)
 
 
-def winsorize_cs(panel: DataFrame, factors: list[str], lower: float = 0.01, upper: float = 0.99, approximate: bool = False) -> DataFrame:
-    """Per period: clips to two quantiles (linear between values; ``approximate`` for periods of millions)."""
+def winsorize_cs(panel: DataFrame, factors: list[str], lower: float = 0.01, upper: float = 0.99, path: str = "select") -> DataFrame:
+    """Per period: clips to two quantiles, linear between values.
+
+    ``path="select"`` finds them in passes of counts and reads the panel five times besides
+    (it is stored first): no task holds a period. ``"sort"`` keeps a period's different values in one aggregate,
+    ``"approximate"`` does so with a sketch. The limits, one row a period, are broadcast.
+    """
     if not 0 <= lower < upper <= 1:
         raise ValueError("quantiles must satisfy 0 <= lower < upper <= 1")
-    name = "percentile_approx" if approximate else "percentile"
-    limits = panel.groupBy("t").agg(*[F.expr(f"{name}(nanvl({f}, null), array({lower}D, {upper}D))").alias(f"_q_{f}") for f in factors])
-    both = panel.join(F.broadcast(limits), "t")
+    aggregates = {"sort": "percentile", "approximate": "percentile_approx"}
+    if path == "select":
+        panel = stored(panel, "winsorize")
+        limits = exact_quantiles(panel, factors, [lower, upper])
+    elif path in aggregates:
+        limits = panel.groupBy("t").agg(*[F.expr(f"{aggregates[path]}(nanvl({f}, null), array({lower}D, {upper}D))").alias(f) for f in factors])
+    else:
+        raise ValueError("path must be select, sort or approximate")
+    both = panel.join(F.broadcast(limits.select("t", *[F.col(f).alias(f"_q_{f}") for f in factors])), "t")
     return both.withColumns({f: F.least(F.greatest(F.col(f), F.col(f"_q_{f}")[0]), F.col(f"_q_{f}")[1]) for f in factors}).select(panel.columns)
 
 
