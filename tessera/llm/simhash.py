@@ -327,7 +327,8 @@ def _verified(pairs: DataFrame, points: DataFrame, size: int, similarity: float)
     Only the texts that the pairs name (and a few others) are dealt out.
     """
     pairs = stored(pairs, "pairs")
-    held = pairs.sparkSession.sparkContext.broadcast(_table(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+    ends = stored(pairs.select(F.col("a").alias("key")).distinct().unionAll(pairs.select("b").distinct()).distinct(), "ends")
+    held = pairs.sparkSession.sparkContext.broadcast(_table(ends))
 
     @F.pandas_udf("boolean")
     def named(pid: pd.Series) -> pd.Series:
@@ -351,7 +352,7 @@ def _verified(pairs: DataFrame, points: DataFrame, size: int, similarity: float)
     texts = points.select("pid", "text").where(named("pid"))
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
     out = stored(both.select("b", "x", "y", "ta", "tb").mapInArrow(run, "x long, y long").distinct(), "verified")
-    dropped(pairs)
+    dropped(pairs, ends)
     return out
 
 
