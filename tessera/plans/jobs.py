@@ -41,6 +41,23 @@ def experiment(cleaned: DataFrame, edges: DataFrame, factors: list[str], alpha:
     return stored(_scored(data.where("part = 'test'"), models, ["t", "id"]), "predictions")
 
 
+def convolution(cleaned: DataFrame, edges: DataFrame, factors: list[str]) -> DataFrame:
+    """Predictions (model, t, id, y_true, y_pred) of the test part by the linear graph convolution alone.
+
+    Its hops and penalty are chosen on the validation part; without a validation part there is no row.
+    The hops are computed once; all fits come from one aggregation over them.
+    """
+    hop = [[f"{f}_h{h}" for f in factors] for h in SGC_HOPS]
+    wide = cleaned.select("t", "id", "y")
+    for table in neighbours.propagate_hops(cleaned, edges, factors, max(SGC_HOPS)):
+        wide = wide.join(table, ["t", "id"])
+    data = stored(_split(wide, [c for names in hop for c in names], panel.periods(cleaned) - 1), "convolution")
+    sums = regress.moments(data.where("part = 'train'"), [c for names in hop for c in names])
+    tried = {f"hops={h} alpha={a}": (names, regress.solve_ridge(sums, names, a)) for h, names in zip(SGC_HOPS, hop, strict=True) for a in SGC_ALPHAS}
+    best = regress.select_on_validation(regress.panel_loss(_scored(data.where("part = 'valid'"), tried, ["t", "id"])))
+    return _scored(data.where("part = 'test'"), {best: tried[best]} if best else tried, ["t", "id"]).where(F.lit(best is not None))
+
+
 def run_experiment(cleaned: DataFrame, edges: DataFrame, factors: list[str], scenario: str) -> DataFrame:
     """One row a model for one scenario: which outcome (``y``) and which graph are passed in."""
     return compare.model_summary(experiment(cleaned, edges, factors)).select(F.lit(scenario).alias("scenario"), "*")
