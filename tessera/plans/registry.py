@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.operators import compare, diagnostics, graph, knn, metrics, neighbours, panel, portfolio, regress, trees
 from tessera.functions.tables import shared_path, stored
 from tessera.plans import jobs
+from tessera.plans.job_oracles import diagnosed, experiment, increments, placebo, recursive, sweep
 from tessera.plans.oracles import CTE, FACTORS, sql
 from tessera.sources import panels
 
@@ -215,30 +216,7 @@ def random_null_graph(spark, sf):
     return knn.random_null_graph(graph.nodes_of(sm(spark, sf)), 5)
 
 
-def _feistel(x: str) -> str:
-    """The oracle's form of the placebo's permutation of ``x``."""
-    left, right = f"({x} // c)", f"({x} % c)"
-    steps = []
-    for turn in range(6):
-        draw = "('0x' || substr(md5(concat_ws(':', 42, t, src, {turn}, {half})), 1, 8))::BIGINT"
-        if turn % 2 == 0:
-            left = f"(({left} + {draw.format(turn=turn, half='h' + str(turn))}) % r)"
-            steps.append((f"h{turn}", right))
-            right = f"h{turn}"
-        else:
-            right = f"(({right} + {draw.format(turn=turn, half='h' + str(turn))}) % c)"
-            steps.append((f"h{turn}", left))
-            left = f"h{turn}"
-    source = f"(SELECT *, {steps[0][1]} AS h0 FROM q)"
-    for name, value in steps[1:]:
-        source = f"(SELECT *, {value} AS {name} FROM {source})"
-    return f"SELECT t, src, n, c, r, {left} * c + {right} AS pos FROM {source}"
-
-
-ORACLE_SQL["random_null_graph"] = "WITH RECURSIVE " + sql("nodes", last="")[5:].strip() + f""", numbered AS (SELECT t, id, ROW_NUMBER() OVER (PARTITION BY t ORDER BY id) - 1 AS pos, COUNT(*) OVER (PARTITION BY t) AS n FROM nodes),
-    start AS (SELECT t, id AS src, n, CAST(CEIL(SQRT(n)) AS BIGINT) AS c, CAST(CEIL(n / CEIL(SQRT(n))) AS BIGINT) AS r, UNNEST(RANGE(LEAST(5, n))) AS pos FROM numbered),
-    walk AS ({_feistel('pos').replace('FROM q)', 'FROM start)')} UNION ALL {_feistel('pos').replace('FROM q)', 'FROM walk WHERE pos >= n)')})
-    SELECT w.t, w.src, b.id AS dst, 1.0::DOUBLE AS w FROM walk w JOIN numbered b ON b.t = w.t AND b.pos = w.pos WHERE w.pos < w.n"""
+ORACLE_SQL["random_null_graph"] = recursive(sql("placebo", last="SELECT * FROM placebo", **placebo("nodes", 5)))
 
 
 @query("e", "nodes", last="SELECT t, src, dst, SUM(w) AS w FROM (SELECT * FROM e UNION ALL SELECT t, id, id, 1.0 FROM nodes) GROUP BY 1, 2, 3")
@@ -695,3 +673,16 @@ def save_summary_csv(spark, sf):
     table = rounded(compare.model_summary(pred(spark, sf)))
     path = panels.save_summary_csv(table, shared_path(spark, "summary"))
     return spark.read.schema(table.schema).option("header", True).csv(path)
+
+
+# -- oracles of whole jobs -----------------------------------------------------------
+
+_OWN_CLEAN = " + ".join(f"({b}) * {f}" for b, f in zip(BETA_SELF, FACTORS, strict=True))
+ORACLE_SQL |= {
+    "incremental_r2_all": increments(),
+    "diagnostics_summary": diagnosed(),
+    "run_experiment": experiment("factor_graph", "y", _r(_ALL)),
+    "run_experiment_self_only": experiment("self_only", _OWN_CLEAN, _r(_ALL)),
+    "run_experiment_wrong_graph": experiment("wrong_graph", f"{_OWN_CLEAN} + 10 * y", _r(_ALL), placebo_graph=True),
+    "sweep_k": sweep([3, 5, 10, 15, 20]),
+}
