@@ -78,7 +78,7 @@ def _increments(tag: str, edges: str, intercept: bool) -> LONG:
     columns = [*FACTORS, *NEAR]
     start = ", ".join(f"{c} - AVG({c}) {window} AS {c}" if intercept else c for c in [*columns, "y"])
     return {
-        f"{tag}_row": ([edges], f"SELECT t, src, dst, w / SUM(w) OVER (PARTITION BY t, src) AS w FROM {edges}"),
+        f"{tag}_row": ([edges], f"SELECT t, src, dst, w / CASE WHEN SUM(w) OVER (PARTITION BY t, src) < 1e-12 THEN 1 ELSE SUM(w) OVER (PARTITION BY t, src) END AS w FROM {edges}"),
         f"{tag}_near": _hop("za", f"{tag}_row", FACTORS, NEAR),
         f"{tag}0": (["za", f"{tag}_near"], f"SELECT t, id, y - AVG(y) {window} AS c, {start} FROM za JOIN {tag}_near USING (t, id)"),
         **_taken_out(tag, columns, "t, id, c", window),
