@@ -24,8 +24,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents have no path, so each is in a directory of its own, and none inherits from another."""
-    path = F.concat(F.col("doc_id").cast("string"), F.lit("/text"))
+    """A document's directory is its source: one that is a license file stands for the others of its source that have none (a null source is no directory)."""
+    path = F.concat_ws("/", F.col("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit("text")))
     return licenses.scan(documents(spark, sf_dir).withColumn("path", path))
 
 

@@ -432,6 +432,20 @@ def test_op3(spark, docs, rows, empty):
     assert licenses.scan(empty.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_op3_query_inherits_from_license_files_of_the_source(spark, tmp_path):
+    from tessera.llm import queries
+
+    data = [
+        (0, "Released under the MIT License.", "src0"), (1, "no word of it", "src0"), (2, "a\nb\nc\nLicensed under the Apache License, Version 2.0", "src0"), (3, "plain", "src1"),
+        (4, "a\nb\nc\nReleased under the MIT License.", "src1"), (5, None, None), (6, "Released under the MIT License.", None), (None, None, "src0"),
+    ]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.origin) for r in queries.op3_licenses(spark, str(tmp_path)).collect()}
+    assert got == {
+        0: ("MIT", "own"), 1: ("MIT", "inherited"), 2: ("Apache-2.0", "own"), 3: (None, "none"), 4: ("MIT", "own"), 5: (None, "none"), 6: ("MIT", "own"), None: ("MIT", "inherited"),
+    }
+
+
 def brute_licenses(texts, threshold=0.5):
     """TF-IDF cosines of all headers to all templates, in plain Python."""
     own = [licenses.headers_of(t or "", None, 0.5)[0] for t in texts]
