@@ -103,10 +103,12 @@ def headers(docs: DataFrame, path_col: str, id_col: str, text_col: str, file_sha
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            found = [headers_of(t, p, file_share) for t, p in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            lines, files = pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([y for _, y in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "doc_id", "path")], lines, files], names=["_row", "doc_id", "path", "lines", "file"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = [headers_of(t, p, file_share) for t, p in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+                lines, files = pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([y for _, y in found], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_row", "doc_id", "path")], lines, files], names=["_row", "doc_id", "path", "lines", "file"])
 
     return stored(rows.mapInArrow(run, "_row long, doc_id long, path string, lines array<string>, file boolean"), "headers")
 
@@ -137,15 +139,19 @@ def best_templates(found: DataFrame, templates: tuple[tuple[str, str], ...], thr
     seen = held.select("term", "times", F.lit(1).alias("pair")).unionAll(fixed.select("term", F.lit(0).cast("long"), F.lit(0)))
     df = seen.groupBy("term").agg(F.sum("times").alias("df"), F.sum("pair").alias("pairs"))
     weights = stored(df.select("term", "pairs", (F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1).alias("weight")), "weights")
-    # the templates are a fixed list: their vectors are small at every size
+    # the templates are a fixed list: their vectors, one column for each, are small at every size
     y = fixed.join(weights.drop("pairs"), "term").withColumn("y", F.col("c") * F.col("weight"))
     sizes = y.groupBy("template").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("size"))
-    b = stored(y.join(sizes, "template").select("template", "license", "term", (F.col("y") / F.col("size")).alias("y")), "templates")
-    x = stored(_held_join(held, weights, "term", "pairs", pairs).select("key", "times", "term", (F.col("c") * F.col("weight")).alias("x")), "weighted")
-    dots = x.join(F.broadcast(b), "term").groupBy("key", "template", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    norms = x.groupBy("key", "times").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    scores = dots.join(norms, "key").withColumn("score", F.round(F.col("dot") / F.col("norm"), 12))
-    best = scores.where(F.col("score") >= threshold).groupBy("key", "times").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), F.col("license"))).alias("b"))
+    unit = y.join(sizes, "template").select("template", "term", (F.col("y") / F.col("size")).alias("y"))
+    sides = [f"y{i}" for i in range(len(templates))]
+    b = unit.groupBy("term").agg(*[F.sum(F.when(F.col("template") == i, F.col("y"))).alias(side) for i, side in enumerate(sides)])
+    x = _held_join(held, weights, "term", "pairs", pairs).select("key", "times", "term", (F.col("c") * F.col("weight")).alias("x"))
+    # norms and products in one pass over the weighted terms, which are not written
+    sums = x.join(F.broadcast(b), "term", "left").groupBy("key", "times").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *[F.sum(F.col("x") * F.col(side)).alias(side) for side in sides])
+    scores = F.array(*[F.struct(F.round(-F.col(side) / F.col("norm"), 12).alias("less"), F.lit(name).alias("license")) for side, (name, _) in zip(sides, templates, strict=True)])
+    # the highest score; among equals the first name
+    lead = F.array_min(F.filter(scores, lambda s: s["less"] <= -threshold))
+    best = sums.select("key", "times", lead.alias("b")).where("b is not null").select("key", "times", F.struct(F.col("b.license").alias("license"), (-F.col("b.less")).alias("score")).alias("b"))
     return stored(best.select("key", "times", "b.*"), "lines")
 
 
