@@ -5,7 +5,9 @@ capital after a small letter) is read with its surrounding context. The network
 trained on labelled findings: candidates that the rules find are secrets; others are
 not, but those of a key's shape, which are what the network is to judge, have no
 label. In half of the training windows the word that the rules go by is replaced by
-letters, so that shape and context count without it. Scores are calibrated on a
+letters, so that shape and context count without it. All labelled windows of the
+corpus take part: blocks of them are trained on side by side, and the blocks' networks
+are averaged after each pass. Scores are calibrated on all of a
 held-out part, which shares no candidate with the rest, and the threshold is the
 highest at which the wanted share of the held-out findings is still found.
 """
@@ -18,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,10 @@ SHAPED = re.compile(r"(?=.*[0-9].*[0-9])(?=.*[A-Za-z].*[A-Za-z])[A-Za-z0-9+/_=-]
 _NAME = re.compile(_NAMES)
 
 BEFORE, WIDTH, AFTER = 20, 48, 4
+#: Scores are rounded to steps of 1/64 between these bounds, so that their counts are a short table.
+STEP, STEPS = 64, 64 * 64
+#: Windows of a block: one task's part in a pass.
+BLOCK = 12_000
 ALPHABET = 40
 _CODES = np.full(256, 1, dtype=np.int8)
 for _i, _c in enumerate("0123456789"):
@@ -115,15 +120,33 @@ class Network:
         both = np.concatenate([left.max(1), right.max(1)], axis=1)
         return cols, at, both, both @ self.out + self.shift[0]
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """The scores in whole steps."""
         z = np.concatenate([self.forward(x[i : i + 2048])[3] for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.scale * z + self.offset, -30, 30)))
+        return np.clip(np.rint(z * STEP), -STEPS, STEPS).astype(np.int64)
+
+    def likely(self, steps: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * steps / STEP + self.offset, -30, 30)))
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return self.likely(self.steps(x))
 
-    def train(self, x: np.ndarray, y: np.ndarray, seed: int, epochs: int, rate: float = 0.01) -> None:
+    def parameters(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in (self.emb, self.conv, self.bias, self.out, self.shift)])
+
+    def assume(self, flat: np.ndarray) -> None:
+        """Takes the values that ``parameters`` gave."""
+        at = 0
+        for p in (self.emb, self.conv, self.bias, self.out, self.shift):
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+    def train(self, x: np.ndarray, y: np.ndarray, seed: int, epochs: int, share: float, rate: float = 0.01) -> None:
+        """``share`` is that of the findings in all blocks."""
         rng = np.random.default_rng(seed)
         params = [self.emb, self.conv, self.bias, self.out, self.shift]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
         filters = len(self.bias)
         for _ in range(epochs):
             order = rng.permutation(len(x))
@@ -147,19 +170,23 @@ class Network:
                     vv += 0.001 * (grad**2 - vv)
                     p -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.999**t)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
-        """Platt scaling; then the highest threshold that keeps ``recall`` of the findings. Precision is only reported."""
-        z = np.concatenate([self.forward(x[i : i + 2048])[3] for i in range(0, len(x), 2048)])
+    def calibrate(self, steps: np.ndarray, y: np.ndarray, times: np.ndarray, recall: float) -> None:
+        """Platt scaling from the counts of scores; then the highest threshold that keeps ``recall`` of the findings. Precision is only reported."""
+        z, w = steps / STEP, times / times.sum()
         a, b = 1.0, 0.0
         for _ in range(300):
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            a -= 0.05 * np.mean((p - y) * z)
-            b -= 0.05 * np.mean(p - y)
+            a -= 0.05 * np.sum(w * (p - y) * z)
+            b -= 0.05 * np.sum(w * (p - y))
         self.scale, self.offset = float(a), float(b)
-        p = self.probability(x)
-        self.threshold = float(np.quantile(p[y == 1], 1 - recall, method="lower"))
-        hit = p >= self.threshold
-        self.recall, self.precision = float(hit[y == 1].mean()), float(y[hit].mean())
+        found = y == 1
+        order = np.argsort(-steps[found])
+        reached = np.cumsum(times[found][order])
+        least = steps[found][order][np.searchsorted(reached, recall * reached[-1] - 1e-9)]
+        # between two steps, so that the last digits of a score decide nothing
+        self.threshold = float(self.likely(np.array([least - 0.5]))[0])
+        hit = self.likely(steps) >= self.threshold
+        self.recall, self.precision = float(times[hit & found].sum() / times[found].sum()), float(times[hit & found].sum() / times[hit].sum())
 
 
 def _unnamed(text: str, start: int, end: int, hits: list[tuple[int, int, int]]) -> str:
@@ -187,10 +214,13 @@ def labelled(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = 6000, seed: int = 7, epochs: int = 6, recall: float = 0.98, text_col: str = "text") -> Network | None:
-    """The network, fitted on at most ``sample`` labelled windows of each label (least hashes first).
+def fit(docs: DataFrame, seed: int = 7, epochs: int = 6, recall: float = 0.98, text_col: str = "text", block: int = BLOCK) -> Network | None:
+    """The network, fitted on all labelled windows.
 
-    A quarter of the candidates, by hash, is held out. None where a label has no candidate
+    A quarter of the candidates, by hash, is held out. The windows of the rest, copies included, are trained on once a pass,
+    in blocks of about ``block`` by hash; after each pass the blocks' networks are averaged. A block's
+    network (1,009 numbers) and the counts of the held-out windows' scores are what reaches the driver.
+    None where a label has no candidate
     on one of the two sides: then nothing can be learned, and the result is the rules' alone.
     """
     rows = docs.where(F.col(text_col).rlike("[0-9]|[a-z][A-Z]")).select(F.col(text_col).alias("text"))
@@ -205,19 +235,55 @@ def fit(docs: DataFrame, sample: int = 6000, seed: int = 7, epochs: int = 6, rec
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["label", "own", "window"])
 
     held = F.pmod(F.xxhash64(F.lit(seed), "own"), F.lit(4)) == 0
-    found = stored(rows.mapInArrow(run, "label int, own string, window string").select("label", "window", held.alias("held")), "windows")
-    data = pd.concat([found.where(F.col("label") == k).orderBy(F.xxhash64("window"), "window").limit(sample).toPandas() for k in (0, 1)])
-    if data.groupby(["label", "held"]).ngroups < 4:
+    every = rows.mapInArrow(run, "label int, own string, window string").select("label", "window", held.alias("held"))
+    found = stored(every.groupBy("label", "window", "held").agg(F.count(F.lit(1)).alias("times")), "windows")
+    sizes = {(r["label"], r["held"]): r["n"] for r in found.groupBy("label", "held").agg(F.sum("times").alias("n")).collect()}
+    if len(sizes) < 4:
         return None
-    data = data.sample(frac=1, random_state=seed)
-    x, y, out = coded(data["window"].tolist()), data["label"].to_numpy().astype(float), data["held"].to_numpy()
+    n, blocks = sum(sizes.values()), -(-sum(sizes.values()) // block)
+    share = sizes[1, False] / (sizes[0, False] + sizes[1, False])
+    # copies of a window go to different blocks
+    copies = found.select("label", "window", "held", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("copy"))
+    dealt = copies.select("label", "window", "held", F.xxhash64("window").alias("mark"), F.pmod(F.xxhash64(F.lit(seed), "window", "copy"), F.lit(blocks)).alias("block"))
     net = Network.fresh(seed)
-    # small samples are gone through more often
-    net.train(x[~out], y[~out], seed, max(epochs, -(-600 * epochs // len(x))))
-    net.calibrate(x[out], y[out], recall)
+    # few windows are gone through more often; a single block needs no averaging between its passes
+    passes = max(epochs, -(-600 * epochs // n))
+    rounds = passes if blocks > 1 else 1
+    for turn in range(rounds):
+        parts = dealt.groupBy("block").applyInArrow(_trained(net, seed, turn, passes // rounds, share), "block long, n long, p array<double>").collect()
+        parts.sort(key=lambda r: r["block"])
+        net.assume(np.average([r["p"] for r in parts], axis=0, weights=[r["n"] for r in parts]))
+
+    def score(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            steps = net.steps(coded(batch.column("window").to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("times"), pa.array(steps)], names=["label", "times", "step"])
+
+    scores = found.where("held").select("label", "times", "window").mapInArrow(score, "label int, times long, step long")
+    table = np.array([tuple(r) for r in scores.groupBy("label", "step").agg(F.sum("times")).orderBy("label", "step").collect()], dtype=np.int64)
+    net.calibrate(table[:, 1], table[:, 0].astype(float), table[:, 2], recall)
     return net
 
 
+def _trained(start: Network, seed: int, turn: int, passes: int, share: float):
+    """A block's network after ``passes`` through its windows, from ``start``."""
+
+    def run(table):
+        import pyarrow as pa
+
+        data = table.sort_by([("label", "ascending"), ("mark", "ascending"), ("window", "ascending"), ("held", "ascending")]).to_pandas().sample(frac=1, random_state=seed)
+        own = data[~data["held"]]
+        net = Network.fresh(0)
+        net.assume(start.parameters())
+        if len(own):
+            net.train(coded(own["window"].tolist()), own["label"].to_numpy().astype(float), seed + turn, passes, share)
+        return pa.table({"block": table.column("block").slice(0, 1), "n": [len(own)], "p": [net.parameters().tolist()]})
+
+    return run
+
+
 def outside(spans: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """The spans, in order, that no base span overlaps."""
     out, i, reach = [], 0, 0

@@ -368,6 +368,18 @@ def test_op9_network_finds_what_no_rule_does(spark):
     assert secrets.fit(more) is None and {r.n_model for r in secrets.scan(more).collect()} == {0}
 
 
+def test_op9_network_learns_from_all_labelled_windows(spark, monkeypatch):
+    """All held-out windows, copies included, count in the threshold; several blocks learn as one does."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    found = [x for r in df.select("text").collect() for x in secrets.labelled(r.text)]
+    seen, calibrate = [], secrets.Network.calibrate
+    monkeypatch.setattr(secrets.Network, "calibrate", lambda self, steps, y, times, recall: (seen.append(int(times.sum())), calibrate(self, steps, y, times, recall)))
+    net = secrets.fit(df, block=300)
+    sides = spark.createDataFrame([(w, own) for _, own, w in found], "window string, own string").withColumn("held", F.pmod(F.xxhash64(F.lit(7), "own"), F.lit(4)) == 0)
+    assert seen == [sides.where("held").count()]
+    assert net.recall >= 0.98 and net.precision > 0.9
+
+
 def test_op9_spans_outside():
     rng = np.random.default_rng(8)
     for _ in range(200):
