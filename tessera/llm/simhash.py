@@ -371,13 +371,31 @@ def _pointed(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     return stored(moved.unionAll(fresh), "classes")
 
 
+def grid_pairs(points: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
+    """(a, b, x, y): SimHash pairs of points, one at most for each point and each fingerprint, by the range join over the grid.
+
+    A point's fingerprint is the first word of its signature. Points of equal fingerprints pair with the least of
+    them, and each fingerprint with the least that ``links`` gives it. Sizes drop pairs that cannot be alike.
+    """
+    own = points.where("m > 0").select("pid", "m", F.col("w")[0].alias("fp"))
+    firsts = stored(own.groupBy("fp").agg(F.min(F.struct("pid", "m")).alias("first")).select("fp", "first.*"), "fingerprints")
+    near = links(firsts.select("fp"), radius, groups_for(firsts.count(), radius)).groupBy("a").agg(F.min("b").alias("b"))
+    first = firsts.select("fp", F.col("pid").alias("b"), F.col("m").alias("mb"))
+    equal = own.join(first, "fp").where("pid <> b").select(F.col("pid").alias("a"), "m", "b", "mb")
+    other = near.join(firsts.select(F.col("fp").alias("a"), F.col("pid").alias("pa"), "m"), "a").join(first.withColumnRenamed("b", "pb"), F.col("b") == F.col("fp"))
+    pairs = equal.unionAll(other.select(F.col("pa").alias("a"), "m", F.col("pb").alias("b"), "mb")).where(F.least("m", "mb") >= similarity * F.greatest("m", "mb") - 1e-9)
+    return pairs.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"))
+
+
 def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of sets at the similarity or above.
 
-    ``points`` (pid, m, w, prefix, text) has one row for each set. Sets that are alike share
+    ``points`` (pid, m, w, prefix, text) has one row for each set. SimHash comes first: pairs of
+    near fingerprints from the grid, verified by their sets, make the first classes. A fingerprint cannot
+    keep every link at the similarity, so an exact search follows. Sets that are alike share
     a cell (``prefix``), and cells of equal membership are one. Places, sizes and signatures
     only drop pairs that cannot be alike, and the sets decide: at the first shingle that two
-    sets share, no more than it and what follows can be shared; ``FAR`` bounds signatures. Each point is first held
+    sets share, no more than it and what follows can be shared; ``FAR`` bounds signatures. Each point is held
     against two leaders of its cells, the closest and the greatest, in ``rounds`` passes, and what that links
     is one class (a cell's leader is its point that meets most others: near copies are mostly
     alike to what they were copied from, not to each other); then all pairs of different classes in a cell are compared, so that a large
@@ -389,7 +407,8 @@ def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, ro
     meets = plain.select("cell", "pid").join(sizes, "cell").groupBy("pid").agg(F.sum("n").alias("meets"))
     members = stored(plain.join(meets, "pid"), "members")
     dropped(plain)
-    classes, links, spent = None, [], [chosen, members]
+    found = [_verified(grid_pairs(points, similarity), points, size, similarity)]
+    classes, spent = _pointed(None, found[0]), [chosen, members]
 
     def may(m: str, at: str, mb: str, at_b: str, w: str, wb: str) -> Column:
         sized = F.least(m, mb) >= similarity * F.greatest(m, mb) - 1e-9
@@ -398,11 +417,8 @@ def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, ro
 
     def classed() -> tuple[DataFrame, DataFrame]:
         """The members with their classes, and the least class and the leader of each cell that has several."""
-        if classes is None:
-            known = members.withColumn("class", F.col("pid"))
-        else:
-            known = stored(members.join(classes, "pid", "left").withColumn("class", F.coalesce("class", "pid")), "classed")
-            spent.append(known)
+        known = stored(members.join(classes, "pid", "left").withColumn("class", F.coalesce("class", "pid")), "classed")
+        spent.append(known)
         least = known.groupBy("cell").agg(F.min("class").alias("of"), F.max("class").alias("last"), F.max_by("pid", F.struct("meets", "pid")).alias("lead"))
         spent.append(stored(least.where("of < last").select("cell", "of", "lead"), "mixed-cells"))
         return known, spent[-1]
@@ -415,20 +431,20 @@ def similar_points(points: DataFrame, size: int = 5, similarity: float = 0.8, ro
         best = [F.min(F.struct("d", "b", "y")).alias("near"), F.max(F.struct("most", "b", "y")).alias("main")]
         ends = F.array_distinct(F.array(*[F.struct(F.col(f"{e}.b").alias("b"), F.col(f"{e}.y").alias("y")) for e in ("near", "main")]))
         star = met.groupBy("a", "x").agg(*best).select("a", "x", F.explode(ends).alias("end")).select("a", "end.b", "x", "end.y")
-        links.append(_verified(star, points, size, similarity))
-        classes = _pointed(classes, links[-1])
+        found.append(_verified(star, points, size, similarity))
+        classes = _pointed(classes, found[-1])
     known, mixed = classed()
     rest = known.join(mixed.select("cell", "of"), "cell")
     a = rest.where("class > of").select("cell", F.col("pid").alias("a"), "m", "at", "w", F.col("class").alias("x"))
     b = rest.select(F.col("cell").alias("cell_b"), F.col("pid").alias("b"), F.col("m").alias("mb"), F.col("at").alias("at_b"), F.col("w").alias("wb"), F.col("class").alias("y"), "of")
     once = (F.col("y") == F.col("of")) | ((F.col("x") != F.col("y")) & (F.col("a") > F.col("b")))
     near = a.join(b, (F.col("cell") == F.col("cell_b")) & once & may("m", "at", "mb", "at_b", "w", "wb"))
-    links.append(_verified(near.select("a", "b", "x", "y").distinct(), points, size, similarity))
+    found.append(_verified(near.select("a", "b", "x", "y").distinct(), points, size, similarity))
     dropped(*spent)
-    found = links[0].toDF("a", "b")
-    for more in [*links[1:], *([classes] if classes is not None else [])]:
-        found = found.unionAll(more.toDF("a", "b"))
-    return found
+    edges = classes.toDF("a", "b")
+    for more in found:
+        edges = edges.unionAll(more.toDF("a", "b"))
+    return edges
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -69,6 +69,24 @@ def test_one_of_each_classes(spark):
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_links_near_fingerprints_by_the_grid(spark, monkeypatch):
+    """Without the exact search, texts within two bits that are alike are still linked, and none that are not."""
+    rng = np.random.default_rng(4)
+    base = [[f"g{g}w{i}" for i in range(400)] for g in range(30)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w, *(f"e{rng.integers(10**9)}" for _ in range(k % 3))]) for k, w in enumerate(base)]
+    texts += ["".join(f"{t.upper()} ") for t in texts[:5]]
+    prints = simhash.signatures(texts, 5)[:, 0]
+    sets = [shingles(t) for t in texts]
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if int(prints[a] ^ prints[b]).bit_count() <= 2}
+    alike = {(a, b) for a, b in near if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(alike) >= 15
+    chosen = simhash._chosen_cells
+    monkeypatch.setattr(simhash, "_chosen_cells", lambda points: chosen(points).limit(0))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert got == set(range(len(texts))) - {a for a, _ in alike}
+
+
 def test_groups_grow_with_the_points():
     """A cell's key keeps about as many bits as the points need."""
     assert simhash.groups_for(1) == 5 and simhash.groups_for(10**6) == 5
