@@ -67,3 +67,12 @@ def test_gaps_short_periods_and_nothing(spark, returns):
     with pytest.raises(ValueError, match="every period"):
         knn.return_corr_graph(returns, 12, 24)
     assert knn.return_corr_graph(returns.where("t > 99"), 12, 3).count() == 0
+
+
+def test_blocks_hand_on_the_k_best_alone(returns):
+    """Not the k best of each pair of blocks, and nothing for runs that hold but the window before them."""
+    rows = returns.where("t < 30")
+    found = rolling.correlated(rows, 12, Measure(False, digits=9, k=4), 24, block=5)
+    counts = found.groupBy("t", "src").count().agg({"count": "max"}).first()[0]
+    assert counts == 4 and found.agg({"t": "max"}).first()[0] == 29
+    assert edges(found.withColumnRenamed("score", "w")) == edges(knn.return_corr_graph(rows, 12, 4, digits=9, path="sql", symmetric=False, row_norm=False))
