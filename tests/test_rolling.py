@@ -76,3 +76,13 @@ def test_blocks_hand_on_the_k_best_alone(returns):
     counts = found.groupBy("t", "src").count().agg({"count": "max"}).first()[0]
     assert counts == 4 and found.agg({"t": "max"}).first()[0] == 29
     assert edges(found.withColumnRenamed("score", "w")) == edges(knn.return_corr_graph(rows, 12, 4, digits=9, path="sql", symmetric=False, row_norm=False))
+
+
+@pytest.mark.parametrize("k,threshold,absolute", [(4, None, False), (None, 0.3, True)])
+def test_long_windows_are_updated(returns, monkeypatch, k, threshold, absolute):
+    """The path of windows over WHOLE gives the same edges."""
+    found = []
+    for whole in (400, 1):
+        monkeypatch.setattr(rolling, "WHOLE", whole)
+        found.append(edges(knn.return_corr_graph(returns, 12, k, threshold, absolute, digits=9, symmetric=False, row_norm=False)))
+    assert len(found[0]) > 100 and found[0] == found[1]
