@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import static
+from tessera.functions.tables import stored
+from tessera.operators import graph, periods, static
 
 
 def _periods(panel: DataFrame) -> int:
@@ -43,8 +44,15 @@ def propagate_hops(panel: DataFrame, edges: DataFrame, factors: list[str], hops:
     return out
 
 
-def graph_features(panel: DataFrame, edges: DataFrame, factors: list[str], hops: int = 1, include_self: bool = True) -> DataFrame:
-    """Own factors first, then each hop's."""
+def graph_features(panel: DataFrame, edges: DataFrame, factors: list[str], hops: int = 1, include_self: bool = True, finish: dict | None = None) -> DataFrame:
+    """Own factors first, then each hop's.
+
+    With ``finish`` (switches of ``graph.finished``) the edges come unfinished; what fits is finished and aggregated a period at a time (``periods``).
+    """
+    if finish is not None:
+        if periods.fit(panel, edges):
+            return periods.hops(panel, edges, factors, hops, lambda c, h: f"{c}_h{h}", factors if include_self else [], **finish)
+        edges = stored(graph.finished(edges, graph.nodes_of(panel), **finish), "finished")
     out = panel.select("t", "id", *(factors if include_self else []))
     for hop in propagate_hops(panel, edges, factors, hops):
         out = out.join(hop, ["t", "id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.tables import stored
-from tessera.operators import compare, graph, knn, metrics, neighbours, panel, regress
+from tessera.operators import compare, graph, knn, metrics, neighbours, panel, periods, regress
 
 #: Ridge penalties and hops among which the graph convolution is chosen on the validation part.
 SGC_HOPS, SGC_ALPHAS = (1, 2), (0.1, 10.0)
@@ -22,16 +22,18 @@ def _scored(rows: DataFrame, models: dict[str, tuple[list[str], tuple[float, lis
     return rows.select(*keys, F.col("y").alias("y_true"), F.explode(F.array(*each)).alias("m")).select("m.model", *keys, "y_true", "m.y_pred")
 
 
-def experiment(cleaned: DataFrame, edges: DataFrame, factors: list[str], alpha: float = 1.0) -> DataFrame:
+def experiment(cleaned: DataFrame, edges: DataFrame, factors: list[str], alpha: float = 1.0, finish: dict | None = None) -> DataFrame:
     """Predictions (model, t, id, y_true, y_pred) of the test part by three models.
 
     ``raw``: ridge on the factors; ``graph``: ridge on the factors and their neighbours';
     ``sgc``: linear graph convolution, its hops and penalty chosen on the validation part.
-    All fits come from one aggregation, all predictions from one scan.
+    All fits come from one aggregation, all predictions from one scan. With ``finish`` the edges come unfinished (``neighbours.graph_features``).
     """
     hop = [[f"{f}_h{h}" for f in factors] for h in (1, 2)]
-    wide = neighbours.graph_features(cleaned, edges, factors, 2).join(cleaned.select("t", "id", "y"), ["t", "id"])
-    data = stored(_split(wide, [*factors, *hop[0], *hop[1]], panel.periods(cleaned) - 1), "experiment")
+    features = neighbours.graph_features(cleaned, edges, factors, 2, finish=finish)
+    # the later outcome is a narrow table; the wide one is joined once
+    later = cleaned.select((F.col("t") - 1).alias("t"), "id", "y")
+    data = stored(panel.time_split(features.join(later, ["t", "id"]), panel.periods(cleaned) - 1), "experiment")
     sums = regress.moments(data.where("part = 'train'"), [*factors, *hop[0], *hop[1]])
     tried = {f"sgc hops={h} alpha={a}": (hop[h - 1], regress.solve_ridge(sums, hop[h - 1], a)) for h in SGC_HOPS for a in SGC_ALPHAS}
     best = regress.select_on_validation(regress.panel_loss(_scored(data.where("part = 'valid'"), tried, ["t", "id"])))
@@ -58,9 +60,9 @@ def convolution(cleaned: DataFrame, edges: DataFrame, factors: list[str]) -> Dat
     return _scored(data.where("part = 'test'"), {best: tried[best]} if best else tried, ["t", "id"]).where(F.lit(best is not None))
 
 
-def run_experiment(cleaned: DataFrame, edges: DataFrame, factors: list[str], scenario: str) -> DataFrame:
+def run_experiment(cleaned: DataFrame, edges: DataFrame, factors: list[str], scenario: str, finish: dict | None = None) -> DataFrame:
     """One row a model for one scenario: which outcome (``y``) and which graph are passed in."""
-    return compare.model_summary(experiment(cleaned, edges, factors)).select(F.lit(scenario).alias("scenario"), "*")
+    return compare.model_summary(experiment(cleaned, edges, factors, finish=finish)).select(F.lit(scenario).alias("scenario"), "*")
 
 
 def _compared(scores: DataFrame, key: str) -> DataFrame:
@@ -78,21 +80,29 @@ def _compared(scores: DataFrame, key: str) -> DataFrame:
 def sweep_k(cleaned: DataFrame, factors: list[str], ks: list[int], tau: float = 1.0, alpha: float = 1.0) -> DataFrame:
     """Raw and graph R2 and mean IC, and their differences, for each number of neighbours.
 
-    One neighbour pass at the largest k. The grid then is part of the period's number, so that
-    every graph step, sum and metric runs once for all of it.
+    One neighbour pass at the largest k. All graphs of a period come from its ranked neighbours in one task
+    where they fit; else the grid is part of the period's number, so that every graph step runs once for all of it.
     """
     total, n = panel.periods(cleaned), len(ks)
     near = stored(knn.rbf_edges(knn.knn_topk(cleaned, factors, max(ks), short="all"), tau, keep_rank=True), "neighbours")
-    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(ks)]))
-    period = F.col("g.i") * total + F.col("t")
-    edges = near.withColumn("g", grid).where(F.col("rank") <= F.col("g.k")).select(period.alias("t"), "src", "dst", "w")
-    copies = cleaned.withColumn("g", grid).select(period.alias("t"), "id", *factors, "y")
-    edges = graph.finished(edges, copies.select("t", "id"), self_loop=True, gcn_norm=True)
     names = [f"{f}_h1" for f in factors]
-    wide = neighbours.neighbor_features(copies, edges, factors, names).join(copies, ["t", "id"])
-    wide = wide.select((F.col("t") % total).cast("int").alias("t"), F.expr(f"cast(t div {total} as int)").alias("g"), "id", *factors, *names, "y")
-    later = wide.select((F.col("t") - 1).alias("t"), "g", "id", F.col("y").alias("_y"))
-    data = stored(panel.time_split(wide.drop("y").join(later, ["t", "g", "id"]).withColumnRenamed("_y", "y"), total - 1), "sweep")
+    finish = {"self_loop": True, "gcn_norm": True}
+    if periods.fit(cleaned, near):
+        known = panel.align_target(cleaned, factors).select("t", "id", "y", F.lit(1).alias("_later"))
+        nodes = cleaned.select("t", "id", *factors).join(known, ["t", "id"], "left")
+        wide = periods.hops(nodes, near, factors, 1, lambda c, h: f"{c}_h{h}", [*factors, "y", "_later"], ks, **finish)
+        data = wide.where(F.col("_later") == 1).select("t", "g", "id", *factors, *names, "y")
+    else:
+        grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(ks)]))
+        period = F.col("g.i") * total + F.col("t")
+        edges = near.withColumn("g", grid).where(F.col("rank") <= F.col("g.k")).select(period.alias("t"), "src", "dst", "w")
+        copies = cleaned.withColumn("g", grid).select(period.alias("t"), "id", *factors, "y")
+        edges = graph.finished(edges, copies.select("t", "id"), **finish)
+        wide = neighbours.neighbor_features(copies, edges, factors, names).join(copies, ["t", "id"])
+        wide = wide.select((F.col("t") % total).cast("int").alias("t"), F.expr(f"cast(t div {total} as int)").alias("g"), "id", *factors, *names, "y")
+        later = wide.select((F.col("t") - 1).alias("t"), "g", "id", F.col("y").alias("_y"))
+        data = wide.drop("y").join(later, ["t", "g", "id"]).withColumnRenamed("_y", "y")
+    data = stored(panel.time_split(data, total - 1), "sweep")
     sums = regress.moments_by(data.where("part = 'train'"), "g", [*factors, *names])
     test, out = data.where("part = 'test'"), None
     for i in range(n):  # a filter on one stored table for each value of the grid
