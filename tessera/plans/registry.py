@@ -284,9 +284,9 @@ def propagate_hops(spark, sf):
 @query("hop1", "hop2", last="SELECT p.t, p.id, " + ", ".join([f"ROUND(p.{f}, 6) AS {f}" for f in FACTORS] + [f"ROUND({n}.{f}, 6) AS {f}_{n}" for n in ("h1", "h2") for f in FACTORS]) + " FROM zr p JOIN hop1 h1 ON h1.t = p.t AND h1.id = p.id JOIN hop2 h2 ON h2.t = p.t AND h2.id = p.id")
 def graph_features(spark, sf):
     """One and two hops of all factors on the factor graph."""
-    p = zr(spark, sf)
-    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all"), "factor-graph")
-    return rounded(neighbours.graph_features(p, edges, FACTORS, 2))
+    p = stored(zr(spark, sf), "panel")
+    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all", symmetric=False, row_norm=False), "neighbours")
+    return rounded(neighbours.graph_features(p, edges, FACTORS, 2, finish={}))
 
 
 _OWN = "(0.5*{p}.f1 - 0.3*{p}.f2 + 0.2*{p}.f3 + 0.1*{p}.f4 - 0.2*{p}.f5)"
