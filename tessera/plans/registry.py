@@ -605,19 +605,23 @@ def factor_sort_study(spark, sf):
     return rounded(compare.model_summary(pred))
 
 
+#: How a job's graph is finished.
+CONVOLVED = {"self_loop": True, "gcn_norm": True}
+
+
 def _cleaned(spark, sf) -> DataFrame:
     return stored(panel.preprocess_panel(sm(spark, sf), FACTORS), "cleaned")
 
 
 def _own_graph(cleaned: DataFrame) -> DataFrame:
-    return stored(knn.factor_knn_graph(cleaned, FACTORS, 10, short="all", self_loop=True, gcn_norm=True), "factor-graph")
+    return stored(knn.factor_knn_graph(cleaned, FACTORS, 10, short="all", symmetric=False, row_norm=False), "neighbours")
 
 
 @query()
 def run_experiment(spark, sf):
     """Suppliers' own outcome and their factor graph: clean, graph, align, split, fit, score, compare; one row a model."""
     cleaned = _cleaned(spark, sf)
-    return rounded(jobs.run_experiment(cleaned, _own_graph(cleaned), FACTORS, "factor_graph"))
+    return rounded(jobs.run_experiment(cleaned, _own_graph(cleaned), FACTORS, "factor_graph", CONVOLVED))
 
 
 @query()
@@ -625,7 +629,7 @@ def run_experiment_self_only(spark, sf):
     """The outcome comes from the own factors of its period, so the graph should not help."""
     cleaned = _cleaned(spark, sf)
     own = stored(neighbours.self_score(cleaned, FACTORS, BETA_SELF).withColumnRenamed("score", "y").join(cleaned.drop("y"), ["t", "id"]), "self-only")
-    return rounded(jobs.run_experiment(own, _own_graph(cleaned), FACTORS, "self_only"))
+    return rounded(jobs.run_experiment(own, _own_graph(cleaned), FACTORS, "self_only", CONVOLVED))
 
 
 @query()
@@ -635,9 +639,8 @@ def run_experiment_wrong_graph(spark, sf):
     hidden = cleaned.select("t", "id", F.col("y").alias("h"))
     scored = neighbours.hidden_score(cleaned, hidden, FACTORS, BETA_SELF, 10.0).withColumnRenamed("score", "y")
     own = stored(scored.join(cleaned.drop("y"), ["t", "id"]), "hidden")
-    wrong = knn.random_null_graph(graph.nodes_of(own), 10)
-    edges = stored(graph.finished(wrong, graph.nodes_of(own), self_loop=True, gcn_norm=True), "placebo")
-    return rounded(jobs.run_experiment(own, edges, FACTORS, "wrong_graph"))
+    edges = stored(knn.random_null_graph(graph.nodes_of(own), 10), "placebo")
+    return rounded(jobs.run_experiment(own, edges, FACTORS, "wrong_graph", CONVOLVED))
 
 
 @query()
