@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import correlation
-from tessera.operators.graph import degree, gcn_normalize, row_normalize
+from tessera.operators import periods
+from tessera.operators.graph import degree, finished, gcn_normalize, nodes_of, row_normalize
 from tessera.operators.neighbours import neighbor_features
 from tessera.operators.regress import fit_per_period, residuals_per_period
 
@@ -46,15 +47,28 @@ def neighbor_residual_corr(values: DataFrame, edges: DataFrame, column: str = "r
     return values.join(near, ["t", "id"]).groupBy("t").agg(correlation(column, "_near").alias("residual_corr"))
 
 
-def incremental_r2(panel: DataFrame, edges: DataFrame, factors: list[str], target: str = "y", intercept: bool = True) -> DataFrame:
-    """(t, r2_base, r2_full, delta_r2, betas): what the neighbours' factors add in each period, in sample."""
+def with_neighbours(panel: DataFrame, edges: DataFrame, factors: list[str], target: str = "y", finish: dict | None = None) -> DataFrame:
+    """(t, id, factors..., target, f_n...): the neighbours' factors by row-normalised edges; with ``finish`` the edges come unfinished (``periods``)."""
     names = [f"{f}_n" for f in factors]
+    if finish is not None:
+        if periods.fit(panel, edges):
+            return periods.hops(panel, edges, factors, 1, lambda c, _: f"{c}_n", [*factors, target], **finish)
+        edges = finished(edges, nodes_of(panel), **{**finish, "row_norm": False})
     near = neighbor_features(panel, row_normalize(edges), factors, names)
-    both = panel.select("t", "id", *factors, target).join(near, ["t", "id"])
-    fits = fit_per_period(both, [*factors, *names], target, factors, intercept)
+    return panel.select("t", "id", *factors, target).join(near, ["t", "id"])
+
+
+def r2_by_neighbours(both: DataFrame, factors: list[str], target: str = "y", intercept: bool = True) -> DataFrame:
+    """(t, r2_base, r2_full, delta_r2, betas) from the table of ``with_neighbours``."""
+    fits = fit_per_period(both, [*factors, *[f"{f}_n" for f in factors]], target, factors, intercept)
     return fits.select("t", "r2_base", F.col("r2").alias("r2_full"), (F.col("r2") - F.col("r2_base")).alias("delta_r2"), "beta_base", F.concat(F.array("intercept"), "beta").alias("beta_full"))
 
 
+def incremental_r2(panel: DataFrame, edges: DataFrame, factors: list[str], target: str = "y", intercept: bool = True) -> DataFrame:
+    """(t, r2_base, r2_full, delta_r2, betas): what the neighbours' factors add in each period, in sample."""
+    return r2_by_neighbours(with_neighbours(panel, edges, factors, target), factors, target, intercept)
+
+
 def diagnostics_summary(panel: DataFrame, edges: DataFrame, factors: list[str], scenario: str, target: str = "y") -> DataFrame:
     """One row: the means over periods of the four diagnostics."""
     rest = residuals_per_period(panel, factors, target)

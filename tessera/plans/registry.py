@@ -576,8 +576,9 @@ def incremental_r2(spark, sf):
 def incremental_r2_all(spark, sf):
     """All factors and their neighbours on the factor graph against the next outcome, with and without an intercept."""
     p = stored(panel.align_target(zr(spark, sf), FACTORS), "panel")
-    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all", row_norm=False), "factor-graph")
-    each = [diagnostics.incremental_r2(p, edges, FACTORS, intercept=i).select(F.lit(i).alias("intercept"), "t", "r2_base", "r2_full", "delta_r2") for i in (True, False)]
+    edges = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all", symmetric=False, row_norm=False), "neighbours")
+    both = stored(diagnostics.with_neighbours(p, edges, FACTORS, finish={}), "with-neighbours")
+    each = [diagnostics.r2_by_neighbours(both, FACTORS, intercept=i).select(F.lit(i).alias("intercept"), "t", "r2_base", "r2_full", "delta_r2") for i in (True, False)]
     return rounded(each[0].unionAll(each[1]))
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import graph, neighbours, periods
+from tessera.operators import diagnostics, graph, neighbours, periods
 from tessera.plans import jobs
 
 
@@ -40,3 +40,15 @@ def test_jobs_finish_no_edge_table_where_periods_fit(small, monkeypatch):
 
     monkeypatch.setattr(graph, "finished", never)
     assert np.allclose(jobs.sweep_k(panel, ["f1", "f2"], [2, 4]).orderBy("k_neighbors").toPandas(), want)
+
+
+def test_neighbours_factors_of_whole_periods(small, monkeypatch):
+    panel, edges = small
+    tables = []
+    for most in (periods.EDGES, 0):
+        monkeypatch.setattr(periods, "EDGES", most)
+        both = diagnostics.with_neighbours(panel, edges, ["f1", "f2"], finish={})
+        tables.append(both.orderBy("t", "id").toPandas())
+    assert list(tables[0].columns) == list(tables[1].columns) and np.allclose(*tables, equal_nan=True)
+    want = diagnostics.incremental_r2(panel, graph.symmetrize(edges), ["f1", "f2"]).orderBy("t").toPandas()
+    assert np.allclose(diagnostics.r2_by_neighbours(both, ["f1", "f2"]).orderBy("t").toPandas()["delta_r2"], want["delta_r2"], equal_nan=True)
