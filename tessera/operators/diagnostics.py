@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.guards import correlation
+from tessera.functions.tables import stored
 from tessera.operators import periods
 from tessera.operators.graph import degree, finished, gcn_normalize, nodes_of, row_normalize
 from tessera.operators.neighbours import neighbor_features
@@ -69,13 +70,37 @@ def incremental_r2(panel: DataFrame, edges: DataFrame, factors: list[str], targe
     return r2_by_neighbours(with_neighbours(panel, edges, factors, target), factors, target, intercept)
 
 
-def diagnostics_summary(panel: DataFrame, edges: DataFrame, factors: list[str], scenario: str, target: str = "y") -> DataFrame:
-    """One row: the means over periods of the four diagnostics."""
+def _at_once(panel: DataFrame, edges: DataFrame, factors: list[str], target: str, symmetric: bool = True) -> DataFrame:
+    """(t, and the four diagnostics) from unfinished edges whose periods fit a task: sums over edges are sums over nodes of their neighbours' sums."""
+    stats = panel.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("m"), (F.var_pop(target) * F.count(F.lit(1))).alias("zz"))
     rest = residuals_per_period(panel, factors, target)
-    tables = [morans_i(panel, edges, target), dirichlet_energy(panel, edges, target), neighbor_residual_corr(rest, edges), incremental_r2(panel, edges, factors, target).select("t", "delta_r2")]
-    joined = tables[0]
-    for x in tables[1:]:
-        joined = joined.join(x, "t")
-    return joined.agg(*[F.avg(c).alias(c) for c in ("moran_i", "dirichlet_energy", "residual_corr", "delta_r2")]).select(F.lit(scenario).alias("scenario"), "*")
+    nodes = panel.select("t", "id", *factors, F.col(target).alias("y")).join(rest, ["t", "id"]).join(F.broadcast(stats.select("t", "m")), "t")
+    nodes = stored(nodes.withColumn("z", F.col("y") - F.col("m")).withColumn("one", F.lit(1.0)), "diagnostics")
+    plain = periods.hops(nodes, edges, ["z", "one"], 1, lambda c, _: f"{c}_n", ["z"], symmetric=symmetric, row_norm=False)
+    plain = plain.groupBy("t").agg(F.sum("one_n").alias("ww"), F.sum(F.col("z") * F.col("z_n")).alias("zwz"))
+    normal = periods.hops(nodes, edges, ["y"], 1, lambda c, _: f"{c}_n", ["y"], symmetric=symmetric, gcn_norm=True)
+    normal = normal.groupBy("t").agg(F.sum(F.col("y") * F.col("y")).alias("own"), F.sum(F.col("y") * F.col("y_n")).alias("cross"))
+    means = stored(periods.hops(nodes, edges, [*factors, "residual"], 1, lambda c, _: f"{c}_n", [*factors, "y", "residual"], symmetric=symmetric), "means")
+    value = F.when((F.abs("ww") >= 1e-12) & (F.col("zz") >= 1e-12), F.col("n") / F.when(F.abs("ww") >= 1e-12, F.col("ww")) * F.col("zwz") / F.when(F.col("zz") >= 1e-12, F.col("zz")))
+    moran = stats.join(plain, "t").select("t", F.coalesce(value, F.lit(0.0)).alias("moran_i"))
+    energy = normal.select("t", (F.col("own") - F.col("cross")).alias("dirichlet_energy"))
+    residual = means.groupBy("t").agg(correlation("residual", "residual_n").alias("residual_corr"))
+    return moran.join(energy, "t").join(residual, "t").join(r2_by_neighbours(means, factors).select("t", "delta_r2"), "t")
+
 
+def diagnostics_summary(panel: DataFrame, edges: DataFrame, factors: list[str], scenario: str, target: str = "y", symmetric: bool | None = None) -> DataFrame:
+    """One row: the means over periods of the four diagnostics.
 
+    With ``symmetric`` (whether the edges are symmetrised first) what fits is done a period at a time (``periods``).
+    """
+    if symmetric is not None and periods.fit(panel, edges):
+        joined = _at_once(panel, edges, factors, target, symmetric)
+    else:
+        if symmetric:
+            edges = stored(finished(edges, nodes_of(panel), row_norm=False), "finished")
+        rest = residuals_per_period(panel, factors, target)
+        tables = [morans_i(panel, edges, target), dirichlet_energy(panel, edges, target), neighbor_residual_corr(rest, edges), incremental_r2(panel, edges, factors, target).select("t", "delta_r2")]
+        joined = tables[0]
+        for x in tables[1:]:
+            joined = joined.join(x, "t")
+    return joined.agg(*[F.avg(c).alias(c) for c in ("moran_i", "dirichlet_energy", "residual_corr", "delta_r2")]).select(F.lit(scenario).alias("scenario"), "*")

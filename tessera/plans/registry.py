@@ -586,9 +586,9 @@ def incremental_r2_all(spark, sf):
 def diagnostics_summary(spark, sf):
     """A factor graph and the placebo graph, one row each; the outcome is the next period's."""
     p = stored(panel.align_target(zr(spark, sf), FACTORS), "panel")
-    real = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all", row_norm=False), "factor-graph")
+    real = stored(knn.factor_knn_graph(p, FACTORS, 10, short="all", symmetric=False, row_norm=False), "neighbours")
     null = stored(knn.random_null_graph(graph.nodes_of(p), 10), "placebo")
-    return rounded(diagnostics.diagnostics_summary(p, real, FACTORS, "factor_knn").unionAll(diagnostics.diagnostics_summary(p, null, FACTORS, "placebo")))
+    return rounded(diagnostics.diagnostics_summary(p, real, FACTORS, "factor_knn", symmetric=True).unionAll(diagnostics.diagnostics_summary(p, null, FACTORS, "placebo", symmetric=False)))
 
 
 # -- jobs --------------------------------------------------------------------------

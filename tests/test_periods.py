@@ -52,3 +52,12 @@ def test_neighbours_factors_of_whole_periods(small, monkeypatch):
     assert list(tables[0].columns) == list(tables[1].columns) and np.allclose(*tables, equal_nan=True)
     want = diagnostics.incremental_r2(panel, graph.symmetrize(edges), ["f1", "f2"]).orderBy("t").toPandas()
     assert np.allclose(diagnostics.r2_by_neighbours(both, ["f1", "f2"]).orderBy("t").toPandas()["delta_r2"], want["delta_r2"], equal_nan=True)
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+def test_diagnostics_of_whole_periods(small, monkeypatch, symmetric):
+    panel = small[0].na.fill(0.0)
+    edges = small[1].where("src <> dst")
+    want = diagnostics.diagnostics_summary(panel, graph.symmetrize(edges) if symmetric else edges, ["f1", "f2"], "s").toPandas()
+    got = diagnostics.diagnostics_summary(panel, edges, ["f1", "f2"], "s", symmetric=symmetric).toPandas()
+    assert np.allclose(got.drop(columns="scenario"), want.drop(columns="scenario"))
